@@ -21,6 +21,12 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pageloom.llm.substrings import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pageloom.llm.mixing import pareto_mix
 
