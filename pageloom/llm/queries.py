@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pageloom.llm.common import table
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pageloom.llm.suffixes import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pageloom.llm.langid import language_id
 
