@@ -17,7 +17,8 @@ _WEIGHT = " + ".join(f"char_length(ws[i + {j}])" for j in range(SHINGLE))
 
 def _shingles(df: DataFrame) -> DataFrame:
     """Adds sh, the hash of each run of SHINGLE words, and wt, the characters of each."""
-    df = df.withColumn("ws", F.expr(_WORDS)).where(F.size("ws") >= SHINGLE)
+    # a generator of one row keeps the optimizer from splitting the text anew for each shingle
+    df = df.select("*", F.explode(F.array(F.expr(_WORDS))).alias("ws")).where(F.size("ws") >= SHINGLE)
     at = f"sequence(0, size(ws) - {SHINGLE})"
     return df.withColumn("sh", F.expr(f"transform({at}, i -> xxhash64({_ARGS}))")).withColumn("wt", F.expr(f"transform({at}, i -> {_WEIGHT})"))
 
