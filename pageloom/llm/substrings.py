@@ -25,11 +25,11 @@ def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
 
 
 def anchors(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cover positions and the hash of the window - PERIOD + 1 words from there on."""
+    """Cover positions and a hash of 48 bits of the window - PERIOD + 1 words from there on."""
     size = window - PERIOD + 1
     at = np.arange(max(0, len(words) - size + 1)) if len(words) >= window else np.zeros(0, int)
     at = at[np.isin(at % PERIOD, COVER)]
-    return at, range_hashes(words, at, at + size)
+    return at, range_hashes(words, at, at + size) >> np.uint64(16)
 
 
 def batch(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
@@ -50,7 +50,7 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     by one, never against each other; an empty table gives no rows.
     """
     d = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    d = d.select("id", F.xxhash64("text").alias("k"), "text")
+    d = d.select("id", F.hash("text").alias("k"), "text")
 
     def emit_anchors(batches):
         for b in batches:
@@ -61,8 +61,9 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
                 yield batch({"id": (ids, pa.int64()), "pos": (np.concatenate([p for p, _ in got]), pa.int32()), "h": (np.concatenate([h for _, h in got]).view(np.int64), pa.int64())})
 
     a = d.select("id", "text").mapInArrow(emit_anchors, "id bigint, pos int, h bigint")
-    shared = a.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h")
-    hits = a.join(shared, "h").select("id", "pos", F.lit(None).cast("bigint").alias("copy"))
+    # a count is the narrowest row that can be combined; one document that repeats itself only adds candidates
+    shared = a.groupBy("h").count().where("count > 1").select("h")
+    hits = a.join(shared, "h").select("id", "pos", F.lit(None).cast("int").alias("copy"))
     whole = d.select("id", "k", F.md5("text").alias("m"))
     least = whole.groupBy("m").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("m", "lo")
     copies = whole.join(least, "m").where("id > lo").select("id", F.lit(None).cast("int").alias("pos"), F.col("k").alias("copy"))
@@ -85,11 +86,11 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
                     near = np.maximum(np.array(pos) - (window - size), 0)
                     s = np.flatnonzero(covered(near[near < n], window - size + 1, n))
                     ends = s + window
-                    out.append([np.full(len(s), i), np.full(len(s), k), s, range_hashes(words, s, ends).view(np.int64), range_hashes(words, s, ends, 1).view(np.int64)])
+                    out.append([np.full(len(s), i), np.full(len(s), k), s, range_hashes(words, s, ends).view(np.int64), (range_hashes(words, s, ends, 1) >> np.uint64(32)).astype(np.uint32).view(np.int32)])
                 c = [np.concatenate(x) for x in zip(*out)]
-                yield batch({"id": (c[0], pa.int64()), "k": (c[1], pa.int64()), "s": (c[2], pa.int32()), "w1": (c[3], pa.int64()), "w2": (c[4], pa.int64())})
+                yield batch({"id": (c[0], pa.int64()), "k": (c[1], pa.int32()), "s": (c[2], pa.int32()), "w1": (c[3], pa.int64()), "w2": (c[4], pa.int32())})
 
-    w = both.mapInArrow(emit_windows, "id bigint, k bigint, s int, w1 bigint, w2 bigint")
+    w = both.mapInArrow(emit_windows, "id bigint, k int, s int, w1 bigint, w2 int")
     first = w.groupBy("w1", "w2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("w1", "w2", "lo")
     dup = w.join(first, ["w1", "w2"]).where("id > lo").groupBy("id").agg(F.collect_list(F.struct("k", "s")).alias("dup"))
     gone = copies.groupBy("id").agg(F.collect_set("copy").alias("copies"))
