@@ -67,7 +67,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, broa
     own = _fingerprint(parts, ["item_id"])
     flips = F.explode(F.expr(f"filter(sequence(0, 65535), x -> bit_count(x) <= {FLIPS})"))
     index = own.select("item_id", "fp", block).select("item_id", F.col("fp").alias("ifp"), "blk", "val", flips.alias("flip")).select("item_id", "ifp", "blk", F.expr("val ^ flip").alias("val"))
-    cand = fps.select(*key, "fp", block).join(index, ["item_id", "blk", "val"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS).select(*key).distinct()
+    # the planner can't see that the flips make 2517 rows of each block, so it must not broadcast them
+    cand = fps.select(*key, "fp", block).join(index.hint("merge"), ["item_id", "blk", "val"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS).select(*key).distinct()
 
     have = rows.groupBy(*key, "h").agg(F.count("*").alias("c"), F.first("w").alias("w"))
     want = parts.groupBy("item_id", "h").agg(F.count("*").alias("ic"))
