@@ -34,8 +34,8 @@ class Model:
 
     def __init__(self, counts: np.ndarray, labels: np.ndarray, rank: int = 64, neighbours: int = 15, power: float = 8.0):
         self.neighbours, self.power, self.labels = neighbours, power, labels.astype(np.float32)
-        counts = counts.reshape(-1, BINS).astype(np.float32)
-        self.idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 0.3).astype(np.float32)
+        counts = counts.reshape(-1, BINS)
+        self.idf = (np.log((1 + len(counts)) / (1 + np.count_nonzero(counts, axis=0))) + 0.3).astype(np.float32)
         x = self.weighted(counts)
         self.basis = np.zeros((BINS, rank), np.float32)
         if len(x):
@@ -48,8 +48,11 @@ class Model:
         self.vectors = self.project(x)
 
     def weighted(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts) * self.idf
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        x = counts.astype(np.float32)  # the only copy; all that follows is in place
+        np.log1p(x, out=x)
+        x *= self.idf
+        x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
+        return x
 
     def project(self, x: np.ndarray) -> np.ndarray:
         z = x @ self.basis
@@ -59,7 +62,7 @@ class Model:
         """Exact cosines against every labelled vector, then the nearest ones vote."""
         if not len(self.labels):
             return np.zeros(len(counts))
-        cosine = self.project(self.weighted(counts.astype(np.float32))) @ self.vectors.T
+        cosine = self.project(self.weighted(counts)) @ self.vectors.T
         k = min(self.neighbours, len(self.labels))
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
         votes = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64) ** self.power
@@ -85,9 +88,17 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, **how) -
 
     # about max_labelled rows of 16 bytes, so the size of this broadcast is bounded
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(lab.select(F.col("doc_id").cast("bigint").alias("doc_id"), "q")), "doc_id")
-    got = sorted(rows.select("doc_id", "q", "text").mapInArrow(count, "doc_id bigint, q int, c binary").collect())
-    counts = np.frombuffer(b"".join(bytes(r["c"]) for r in got), np.uint16) if got else np.zeros(0, np.uint16)
-    return Model(counts, np.array([r["q"] for r in got]), **how)
+    got = rows.select("doc_id", "q", "text").mapInArrow(count, "doc_id bigint, q int, c binary").toArrow()
+    counts = np.empty((got.num_rows, BINS), np.uint16)
+    at = 0
+    for chunk in got.column("c").cast(pa.binary()).chunks:  # copied straight from the buffers, without an object a row
+        first = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        counts[at : at + len(chunk)] = np.frombuffer(chunk.buffers()[2], np.uint8)[first[0] : first[-1]].view(np.uint16).reshape(-1, BINS)
+        at += len(chunk)
+    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
+    q = got.column("q").to_numpy()[order]
+    del got
+    return Model(counts[order], q, **how)
 
 
 def score(docs: DataFrame, model: Model, block: int = 256) -> DataFrame:
