@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import text as T
 from pageloom.operators import layout as L
+from pageloom.sources import pdf, pdfsink
 from pageloom.sources.derived import blocks, elements, images, table
 
 FLAGSHIP = "text_blocks"
@@ -85,6 +86,8 @@ def queries():
         "flow_down": lambda s, d: L.flow_down(blocks(s, d)),
         "split_pages": lambda s, d: L.split_pages(blocks(s, d)),
         "merge_across_pages": lambda s, d: L.merge_across_pages(_doc_blocks(s, d)),
+        "pdf_elements": lambda s, d: pdf.text_elements(pdfsink.to_pdf(elements(s, d)), "doc_id"),
+        "pdf_documents": lambda s, d: pdf.documents(pdfsink.to_pdf(elements(s, d)), "doc_id").select("doc_id", "n_pages", "producer", "encrypted", "error"),
         "collections": _collections,
         "strings": _strings,
         "permissions_and_pixels": _numbers_of_pages,
@@ -96,6 +99,8 @@ def oracle_sql():
     fold = _ORDER.replace("blocks AS", "blocks AS", 1)
     return {
         "elements": f"WITH {_ELEMENTS} SELECT * FROM elements",
+        "pdf_elements": f"WITH {_ELEMENTS} SELECT * REPLACE (CAST(elem_seq % 100 AS INT) AS elem_seq) FROM elements",
+        "pdf_documents": f"WITH {_ELEMENTS} SELECT doc_id, CAST(max(page_num) + 1 AS INT) AS n_pages, 'pageloom' AS producer, false AS encrypted, CAST(NULL AS VARCHAR) AS error FROM elements GROUP BY doc_id",
         "chained_lines": f"WITH {_LINES} SELECT * EXCLUDE (sum_size) FROM lines",
         "text_blocks": _block_sql(True),
         "text_blocks_without_images": _block_sql(False),
