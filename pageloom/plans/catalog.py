@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pageloom.functions import text as T
+from pageloom.functions import values as V
 from pageloom.operators import layout as L
 from pageloom.sources import pdf, pdfsink
 from pageloom.sources.derived import blocks, elements, images, table
@@ -66,6 +67,26 @@ def _numbers_of_pages(spark, d):
     return b.select("page_id", "block_seq", T.permissions(flag).alias("word"), *[c.alias(n) for c, n in zip(px, ("px", "py", "pw", "ph"))])
 
 
+def _dates(spark, d):
+    offset = ((F.col("o_orderkey") % 25 - 12) * 60 + F.col("o_orderkey") % 2 * 30).cast("int")
+    o = table(spark, d, "orders").select("o_orderkey", V.format_date(F.col("o_orderdate"), offset).alias("formatted"))
+    p = V.parse_date(F.col("formatted"))
+    return o.select("o_orderkey", "formatted", F.date_format(p["local"], "yyyy-MM-dd HH:mm:ss").alias("parsed"), p["offset_minutes"].alias("offset_minutes"))
+
+
+def _geometry(spark, d):
+    b = blocks(spark, d)
+    ruby = V.ruby_layout(F.col("x"), F.col("y"), F.col("width"), F.col("height"), F.col("font_size"), 2.0)
+    ink = V.cmyk_to_rgb(F.col("x") / 1024, F.col("y") / 1024, F.col("width") / 1024, F.col("height") / 1024)
+    return b.select("page_id", "block_seq", V.position(F.col("y"), 842.0).alias("third"), ruby["ruby_x"].alias("ruby_x"), ruby["ruby_y"].alias("ruby_y"), ruby["advance"].alias("advance"), ink["r"].alias("r"), ink["g"].alias("g"), ink["b"].alias("b"))
+
+
+def _sealed(spark, d):
+    lock = pdfsink.Lock("reader", "owner", T.PERMISSION_BASE | 1 << T.PERMISSION_BITS["print"])
+    orders = table(spark, d, "orders").selectExpr("o_orderkey as doc_id", "0 as page_num", "0 as elem_seq", "o_orderpriority as text", "50D as x", "700D as y", "12D as size", "'F1' as font")
+    return pdf.text_elements(pdfsink.to_pdf(orders, lock=lock), "doc_id", "owner").select("doc_id", "text", "x", "y")
+
+
 def _doc_blocks(spark, d):
     return blocks(spark, d).withColumn("doc_id", F.floor(F.col("page_id") / 10).cast("bigint")).withColumn("page_num", (F.col("page_id") % 10).cast("int"))
 
@@ -88,6 +109,10 @@ def queries():
         "merge_across_pages": lambda s, d: L.merge_across_pages(_doc_blocks(s, d)),
         "pdf_elements": lambda s, d: pdf.text_elements(pdfsink.to_pdf(elements(s, d)), "doc_id"),
         "pdf_documents": lambda s, d: pdf.documents(pdfsink.to_pdf(elements(s, d)), "doc_id").select("doc_id", "n_pages", "producer", "encrypted", "error"),
+        "dates": _dates,
+        "geometry": _geometry,
+        "sealed_files": _sealed,
+        "fitted_sizes": lambda s, d: table(s, d, "documents").select("doc_id", V.fit_size("text", 400.0, 600.0).alias("size")),
         "collections": _collections,
         "strings": _strings,
         "permissions_and_pixels": _numbers_of_pages,
@@ -125,6 +150,12 @@ i AS (SELECT *, CAST(sum(brk) OVER (PARTITION BY doc_id ORDER BY page_num, block
 k AS MATERIALIZED (SELECT doc_id, island, page_num, block_seq, font_size, row_number() OVER (PARTITION BY doc_id, island ORDER BY page_num, block_seq) AS k FROM i),
 f AS (SELECT doc_id, island, page_num, block_seq, k, 1 AS run, font_size AS base FROM k WHERE k = 1 UNION ALL SELECT k.doc_id, k.island, k.page_num, k.block_seq, k.k, CASE WHEN abs(k.font_size - f.base) <= 1 THEN f.run ELSE f.run + 1 END, CASE WHEN abs(k.font_size - f.base) <= 1 THEN f.base ELSE k.font_size END FROM f JOIN k ON k.doc_id = f.doc_id AND k.island = f.island AND k.k = f.k + 1)
 SELECT doc_id, island, page_num, block_seq, run FROM f""",
+        "dates": """WITH o AS (SELECT o_orderkey, o_orderdate, CAST((o_orderkey % 25 - 12) * 60 + o_orderkey % 2 * 30 AS INT) AS offset_minutes FROM orders)
+SELECT o_orderkey, 'D:' || strftime(o_orderdate, '%Y%m%d%H%M%S') || CASE WHEN offset_minutes < 0 THEN '-' ELSE '+' END || lpad(CAST(abs(offset_minutes) // 60 AS VARCHAR), 2, '0') || chr(39) || lpad(CAST(abs(offset_minutes) % 60 AS VARCHAR), 2, '0') || chr(39) AS formatted,
+ strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS parsed, offset_minutes FROM o""",
+        "geometry": f"""WITH {_BLOCKS} SELECT page_id, block_seq, CASE WHEN y / 842.0::DOUBLE > 0.66::DOUBLE THEN 'top' WHEN y / 842.0::DOUBLE > 0.33::DOUBLE THEN 'middle' ELSE 'bottom' END AS third, x + (width - height) / 2 AS ruby_x, y + font_size + 2 AS ruby_y, greatest(width, height) AS advance,
+ CAST(floor(255.0::DOUBLE * (1 - x / 1024) * (1 - height / 1024)) AS INT) AS r, CAST(floor(255.0::DOUBLE * (1 - y / 1024) * (1 - height / 1024)) AS INT) AS g, CAST(floor(255.0::DOUBLE * (1 - width / 1024) * (1 - height / 1024)) AS INT) AS b FROM blocks""",
+        "sealed_files": "SELECT o_orderkey AS doc_id, o_orderpriority AS text, CAST(50 AS DOUBLE) AS x, CAST(700 AS DOUBLE) AS y FROM orders",
         "collections": """WITH n AS (SELECT l_orderkey, list(CAST(l_quantity AS INT) ORDER BY l_linenumber, l_partkey, l_quantity) AS v FROM lineitem GROUP BY 1)
 SELECT l_orderkey, array_to_string(list_transform(v, lambda x: x * 2), ',') AS mapped, array_to_string(list_filter(v, lambda x: x % 2 = 0), ',') AS kept, array_to_string(list_filter(v, lambda x: x % 2 <> 0), ',') AS others, CAST(list_sum(v) AS INT) AS reduced,
  array_to_string(list_transform(list_filter(list_transform(range(1, len(v) + 1), lambda i: CASE WHEN list_position(v, v[i]) = i THEN v[i] END), lambda x: x IS NOT NULL), lambda x: x), ',') AS "unique", len(list_filter(v, lambda x: x > 45)) > 0 AS any_over_45, len(list_filter(v, lambda x: NOT x > 5)) = 0 AS all_over_5, list_filter(v, lambda x: x > 30)[1] AS found, array_to_string(flatten(list_transform(v, lambda x: [x, x + 1])), ',') AS flat FROM n""",

@@ -83,3 +83,12 @@ def test_colours_and_geometry(spark):
     assert one(spark, V.ruby_text(F.lit("漢"), F.lit("かん"))) == "漢(かん)"
     path = one(spark, V.circle(F.lit(0.0), F.lit(0.0), F.lit(100.0))).split("\n")
     assert path[:2] == ["100.00 0.00 m", "100.00 55.23 55.23 100.00 0.00 100.00 c"] and path[-1].endswith("100.00 -0.00 c") or path[-1].endswith("100.00 0.00 c")
+
+
+def test_fit_of_all_documents(spark):
+    from pageloom.plans import catalog
+
+    data = "/root/testdata/sf0.001"
+    texts = dict(spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect())
+    got = dict(catalog.queries()["fitted_sizes"](spark, data).collect())
+    assert got == {k: plain_fit(v, 400.0, 600.0) for k, v in texts.items()}
