@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pageloom.functions import text as T
 from pageloom.functions import values as V
 from pageloom.operators import layout as L
+from pageloom.operators import markdown as M
 from pageloom.sources import pdf, pdfsink
 from pageloom.sources.derived import blocks, elements, images, table
 
@@ -113,6 +114,7 @@ def queries():
         "geometry": _geometry,
         "sealed_files": _sealed,
         "fitted_sizes": lambda s, d: table(s, d, "documents").select("doc_id", V.fit_size("text", 400.0, 600.0).alias("size")),
+        "markdown_layout": lambda s, d: M.layout(M.nodes(table(s, d, "documents"))),
         "collections": _collections,
         "strings": _strings,
         "permissions_and_pixels": _numbers_of_pages,
