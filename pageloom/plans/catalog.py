@@ -84,8 +84,8 @@ def _geometry(spark, d):
 
 def _sealed(spark, d):
     lock = pdfsink.Lock("reader", "owner", T.PERMISSION_BASE | 1 << T.PERMISSION_BITS["print"])
-    orders = table(spark, d, "orders").selectExpr("o_orderkey as doc_id", "0 as page_num", "0 as elem_seq", "o_orderpriority as text", "50D as x", "700D as y", "12D as size", "'F1' as font")
-    return pdf.text_elements(pdfsink.to_pdf(orders, lock=lock), "doc_id", "owner").select("doc_id", "text", "x", "y")
+    names = table(spark, d, "supplier").selectExpr("s_suppkey as doc_id", "0 as page_num", "0 as elem_seq", "s_name as text", "50D as x", "700D as y", "12D as size", "'F1' as font")
+    return pdf.text_elements(pdfsink.to_pdf(names, lock=lock), "doc_id", "owner").select("doc_id", "text", "x", "y")
 
 
 def _doc_blocks(spark, d):
@@ -157,7 +157,7 @@ SELECT o_orderkey, 'D:' || strftime(o_orderdate, '%Y%m%d%H%M%S') || CASE WHEN of
  strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS parsed, offset_minutes FROM o""",
         "geometry": f"""WITH {_BLOCKS} SELECT page_id, block_seq, CASE WHEN y / 842.0::DOUBLE > 0.66::DOUBLE THEN 'top' WHEN y / 842.0::DOUBLE > 0.33::DOUBLE THEN 'middle' ELSE 'bottom' END AS third, x + (width - height) / 2 AS ruby_x, y + font_size + 2 AS ruby_y, greatest(width, height) AS advance,
  CAST(floor(255.0::DOUBLE * (1 - x / 1024) * (1 - height / 1024)) AS INT) AS r, CAST(floor(255.0::DOUBLE * (1 - y / 1024) * (1 - height / 1024)) AS INT) AS g, CAST(floor(255.0::DOUBLE * (1 - width / 1024) * (1 - height / 1024)) AS INT) AS b FROM blocks""",
-        "sealed_files": "SELECT o_orderkey AS doc_id, o_orderpriority AS text, CAST(50 AS DOUBLE) AS x, CAST(700 AS DOUBLE) AS y FROM orders",
+        "sealed_files": "SELECT s_suppkey AS doc_id, s_name AS text, CAST(50 AS DOUBLE) AS x, CAST(700 AS DOUBLE) AS y FROM supplier",
         "collections": """WITH n AS (SELECT l_orderkey, list(CAST(l_quantity AS INT) ORDER BY l_linenumber, l_partkey, l_quantity) AS v FROM lineitem GROUP BY 1)
 SELECT l_orderkey, array_to_string(list_transform(v, lambda x: x * 2), ',') AS mapped, array_to_string(list_filter(v, lambda x: x % 2 = 0), ',') AS kept, array_to_string(list_filter(v, lambda x: x % 2 <> 0), ',') AS others, CAST(list_sum(v) AS INT) AS reduced,
  array_to_string(list_transform(list_filter(list_transform(range(1, len(v) + 1), lambda i: CASE WHEN list_position(v, v[i]) = i THEN v[i] END), lambda x: x IS NOT NULL), lambda x: x), ',') AS "unique", len(list_filter(v, lambda x: x > 45)) > 0 AS any_over_45, len(list_filter(v, lambda x: NOT x > 5)) = 0 AS all_over_5, list_filter(v, lambda x: x > 30)[1] AS found, array_to_string(flatten(list_transform(v, lambda x: [x, x + 1])), ',') AS flat FROM n""",
