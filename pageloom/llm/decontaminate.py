@@ -10,15 +10,22 @@ SHINGLE, BLOCKS, FLIPS = 5, 4, 4
 #: Fingerprints at most this far apart agree in some block up to FLIPS bits.
 RADIUS = BLOCKS * (FLIPS + 1) - 1
 
-_WORDS = r"filter(split(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
+_EDGE = r"^[\\p{P}\\p{S}]++|(?<![\\p{P}\\p{S}])[\\p{P}\\p{S}]++$"
+#: Words in lower case without punctuation at their edges; a word of punctuation only stays as it is.
+_WORDS = rf"transform(filter(split(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), w -> w <> ''), w -> coalesce(nullif(regexp_replace(w, '{_EDGE}', ''), ''), w))"
 _ARGS = ", ".join(f"ws[i + {j}]" for j in range(SHINGLE))
 _WEIGHT = " + ".join(f"char_length(ws[i + {j}])" for j in range(SHINGLE))
 
 
+def _split(df: DataFrame) -> DataFrame:
+    """Adds ws, the words of text."""
+    # a generator of one row keeps the optimizer from splitting the text anew for each shingle
+    return df.select("*", F.explode(F.array(F.expr(_WORDS))).alias("ws"))
+
+
 def _shingles(df: DataFrame) -> DataFrame:
     """Adds sh, the hash of each run of SHINGLE words, and wt, the characters of each."""
-    # a generator of one row keeps the optimizer from splitting the text anew for each shingle
-    df = df.select("*", F.explode(F.array(F.expr(_WORDS))).alias("ws")).where(F.size("ws") >= SHINGLE)
+    df = _split(df).where(F.size("ws") >= SHINGLE)
     at = f"sequence(0, size(ws) - {SHINGLE})"
     return df.withColumn("sh", F.expr(f"transform({at}, i -> xxhash64({_ARGS}))")).withColumn("wt", F.expr(f"transform({at}, i -> {_WEIGHT})"))
 
@@ -33,6 +40,21 @@ def _fingerprint(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(*sums).select(*keys, total.alias("fp"))
 
 
+def _short_matches(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int) -> DataFrame | None:
+    """The rows of matches() for items under SHINGLE words, found whole and in order; None without any."""
+    items = _split(benchmark.select("item_id", "text")).where(F.size("ws").between(1, SHINGLE - 1)).select("item_id", F.size("ws").alias("len"), F.expr("xxhash64(ws)").alias("h")).distinct()
+    sizes = {r["len"]: r["count"] for r in items.groupBy("len").count().collect()}
+    if not sizes:
+        return None
+    # a word run of each length that an item has
+    runs = [f"transform(sequence(1, size(ws) - {n - 1}), i -> struct({n} as len, i - 1 as pos, xxhash64(slice(ws, i, {n})) as h))" for n in sorted(sizes)]
+    runs = [f"if(size(ws) >= {n}, {x}, cast(array() as array<struct<len:int,pos:int,h:bigint>>))" for n, x in zip(sorted(sizes), runs)]
+    seen = _split(docs.select("doc_id", F.xxhash64("text").alias("k"), "text")).select("doc_id", "k", F.explode(F.expr(f"concat({', '.join(runs)})")).alias("r")).select("doc_id", "k", F.col("r.len").alias("len"), F.col("r.pos").alias("pos"), F.col("r.h").alias("h"))
+    near = F.broadcast(items) if sum(sizes.values()) <= broadcast_rows else items
+    found = seen.join(near, ["len", "h"]).groupBy("doc_id", "k", "item_id").agg(F.min("pos").alias("start_word"))
+    return found.withColumn("similarity", F.lit(1.0))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, broadcast_rows: int = 500_000) -> DataFrame:
     """doc_id, k (hash of the text), item_id, start_word and similarity of each contaminated pair.
 
@@ -42,8 +64,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, broa
     exact similarity decides: the weight of the common shingles over that of all, a shingle weighing
     its characters, each as often as it occurs.
 
-    Items under five words are no evidence and are left out, as are null and empty texts; case does
-    not count. Each row of docs is looked at by itself, and the best window of a pair is returned.
+    Items under five words must stand in the text whole and in order, with similarity 1. Null and
+    empty texts are left out; case and punctuation at the edges of words do not count. Each row of docs is looked at by itself, and the best window of a pair is returned.
     The item table is broadcast only if its counted rows are within broadcast_rows.
     """
     items = _shingles(benchmark.select("item_id", "text")).select("item_id", F.size("ws").alias("len"), "sh", "wt")
@@ -78,7 +100,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, broa
     both = both.join(cand.toDF(*[f"_{c}" for c in key]), same[0] & same[1] & same[2] & same[3], "left_semi")
     scored = both.join(fit(whole), "item_id").withColumn("similarity", F.col("common") / (F.col("ww") + F.col("iw") - F.col("common"))).where(F.col("similarity") >= similarity)
     best = scored.groupBy("doc_id", "k", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("m"))
-    return best.select("doc_id", "k", "item_id", (-F.col("m.s")).alias("start_word"), F.col("m.similarity").alias("similarity"))
+    best = best.select("doc_id", "k", "item_id", (-F.col("m.s")).alias("start_word"), F.col("m.similarity").alias("similarity"))
+    short = _short_matches(docs, benchmark, broadcast_rows)
+    return best if short is None else best.unionByName(short)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:

@@ -149,6 +149,17 @@ def test_decontamination(spark):
     assert {r.doc_id for r in decontaminate.drop_contaminated(df, bench).collect()} == {2, 3, 4}
 
 
+def test_decontamination_of_quoted_and_short_items(spark):
+    rng = random.Random(9)
+    item = " ".join(f"q{rng.randint(0, 900)}" for _ in range(15))
+    bench = spark.createDataFrame([(1, item), (2, "Blue, green whale"), (3, "zebra"), (4, "¿?")], "item_id bigint, text string")
+    rows = [(1, f'He said "{item}" and left'), (2, f"see {item}###"), (3, 'so "blue green whale!" it was'), (4, "(Zebra)"), (5, "blue whale green zebras"), (6, "a ¿? b"), (7, None), (8, "")]
+    df = frame(spark, [(*r, None, None, None, "c") for r in rows])
+    got = {(r.doc_id, r.item_id, r.start_word, r.similarity) for r in decontaminate.matches(df, bench).collect()}
+    assert got == {(1, 1, 2, 1.0), (2, 1, 1, 1.0), (3, 2, 1, 1.0), (4, 3, 0, 1.0), (6, 4, 1, 1.0)}
+    assert {r.doc_id for r in decontaminate.drop_contaminated(df, bench).collect()} == {5, 7, 8}
+
+
 def test_fingerprints(spark):
     rows = [(i, t) for i, t, *_ in texts() if i is not None]
     got = {r.doc_id: r for r in fingerprints.fingerprints(frame(spark, texts()[:-3] + texts()[-2:])).collect()}
