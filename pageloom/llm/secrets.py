@@ -8,8 +8,6 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A candidate is a run of 16 to 512 characters of a token's alphabet with a digit in it.
-TOKEN = r"(?<![A-Za-z0-9_+=.-])(?=[A-Za-z_+=.-]{0,512}[0-9])[A-Za-z0-9_+=.-]{16,512}(?![A-Za-z0-9_+=.-])"
 #: Characters before a candidate that count as its neighbourhood.
 NEAR = 24
 #: Words of a candidate's neighbourhood that speak for and against a secret.
@@ -17,6 +15,15 @@ FOR = "token secret password passwd pwd apikey api_key api-key access_key privat
 AGAINST = "sha commit md5 checksum digest hash uuid guid etag revision integrity phone card isbn build version"
 #: Words that make up identifiers and prose, for the share of a candidate they cover.
 DICTIONARY = "the and for that with this from have tion ing ent ation error value index name file path user data test config service module version package example function return public static string number length object array token secret password key und der die das les des que para con ción mente"
+_CORE = "[A-Za-z0-9_+./-]"
+_VALUE = r"""[^\s"'`<>,;&|(){}\[\]\\]"""
+#: A candidate is a value of LEAST or more characters after a word of FOR and an assignment, a quotation
+#: mark or a space, or anywhere a run of LONG or more characters of the alphabets of tokens and base64.
+LEAST, LONG = 4, 16
+TOKEN = (
+    rf"""(?<=[:=>\s"'`])(?={_VALUE}{{{LEAST}}})(?<=(?i:{'|'.join(FOR.split())})[A-Za-z_]{{0,8}}["'`]?\s{{0,2}}(?:[:=]{{1,2}}>?|is)?\s{{0,2}}["'`]?){_VALUE}{{{LEAST},}}(?<![.!?:])"""
+    rf"""|(?<!{_CORE}){_CORE}{{{LONG - 1},}}[A-Za-z0-9_+/-]={{0,2}}"""
+)
 MARK = "[SECRET]"
 NAMES = ["length", "switches", "digits", "capitals", "spread", "dictionary", "path", "for", "against", "quoted"]
 
@@ -34,7 +41,7 @@ def features(secret: Column, before: Column) -> list[Column]:
         F.length(F.regexp_replace(secret, "[^A-Z]", "")) / n,
         F.size(F.array_distinct(F.split(secret, ""))) / F.least(n, F.lit(40.0)),
         1 - F.length(cover) / n,
-        F.when(near.rlike(r"(://|[\\/])\S*$") | secret.rlike(r"^[.\-]|\.(com|org|net|html?|js|py|png)\b"), 1.0).otherwise(0.0),
+        F.when(near.rlike(r"(://|[\\/])\S*$") | secret.rlike(r"^[./~\-]|://|\.(com|org|net|html?|js|py|png)\b"), 1.0).otherwise(0.0),
         F.when(near.rlike(f"({'|'.join(FOR.split())})[a-z_]*\\W{{0,6}}$"), 1.0).otherwise(0.0),
         F.when(near.rlike(f"\\b({'|'.join(AGAINST.split())})\\W{{0,6}}[a-z0-9]{{0,4}}\\W?$"), 1.0).otherwise(0.0),
         F.when(near.rlike("[\"'`=:]\\s?$"), 1.0).otherwise(0.0),
@@ -44,8 +51,9 @@ def features(secret: Column, before: Column) -> list[Column]:
 def labelled_findings(each: int = 300, seed: int = 11) -> list[tuple[str, str, int]]:
     """(before, candidate, label): a bounded, reproducible set of findings of known origin.
 
-    Secrets are random strings of the usual alphabets in an assignment; false findings are digests
-    and ids named as such, numbers, paths, host names, identifiers, long words and rulers.
+    Secrets are random strings of the usual alphabets in an assignment, short passwords and long
+    signed tokens among them, and base64 keys; false findings are digests and ids named as such,
+    numbers, paths, host names, identifiers, plain words after a secret word, long words and rulers.
     """
     rng = random.Random(seed)
     hexa, alnum = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
@@ -64,6 +72,23 @@ def labelled_findings(each: int = 300, seed: int = 11) -> list[tuple[str, str, i
         out.append((f"{prose()} ", text("abcdefghilmnoprstu", rng.randint(16, 30)), 0))
         out.append((f"{prose()} ", text("ABCDEFGHILMNOPRSTU", rng.randint(16, 30)), 0))
         out.append((f"{prose()} {rng.choice(['', 'password '])}", rng.choice("-=._") * rng.randint(16, 60), 0))
+    base64, letters = alnum + "+/", alnum[:52]
+    camel = lambda n: "".join(word().replace(" ", "").capitalize() for _ in range(n))
+    for _ in range(each):
+        name, quote = rng.choice(FOR.split()), rng.choice(["", chr(34)])
+        given = f"{prose()} {name}{rng.choice([' = ', '=', ': ', ':', ' '])}{quote}"
+        named = f"{prose()} {name}{rng.choice([' = ', '=', ': ', ':'])}{quote}"
+        key = rng.choice(["", "", "", "", "/"]) + text(base64, rng.choice([27, 32, 40, 43, 64, 86])) + rng.choice(["", "=", "=="])
+        out.append((rng.choice([given, given, f"{prose()} "]), key, 1))
+        out.append((given, text(letters, rng.choice([16, 20, 24, 32, 40])), 1))
+        out.append((rng.choice([given, f"{prose()} "]), f"eyJ{text(alnum, rng.randint(17, 40))}.eyJ{text(alnum + '_-', rng.randint(60, 1200))}.{text(alnum + '_-', rng.choice([43, 86, 342]))}", 1))
+        out.append((rng.choice([given, named, named]), text(alnum + rng.choice(["", "!#$%*+?@^_-"]), rng.randint(6, 15)), 1))
+        out.append((named, rng.choice([camel(1), word().replace(" ", ""), text("abcdefghijklmnopqrstuvwxyz", 6)])[:8] + text("0123456789", rng.randint(1, 4)) + rng.choice(["", "!", "#", "$"]), 1))
+        out.append((f"{prose()} {name}{rng.choice([' ', ' ', ': ', ' = ', ' is '])}", "".join(word().replace(" ", "") for _ in range(rng.randint(1, 3))) + rng.choice(["", "", "s"]), 0))
+        out.append((f"{prose()} {name} ", text("abcdefghilmnoprstu", rng.randint(4, 15)), 0))
+        out.append((f"{prose()} ", rng.choice(["", "/", "./", "//"]) + "/".join(rng.choice([word(), word(), camel(1), text("0123456789", rng.randint(1, 4))]).replace(" ", "") for _ in range(rng.randint(4, 9))) + rng.choice(["", "/", ".py", ".txt"]), 0))
+        out.append((f"{prose()} ", rng.choice([camel(rng.randint(4, 7)), text("abcdefghilmnoprstu", rng.randint(6, 12)).capitalize() + "/" + text("abcdefghilmnoprstu", rng.randint(6, 12))]), 0))
+        out.append((f"{prose()} integrity={chr(34)}", f"sha{rng.choice(['256', '384', '512'])}-" + text(base64, rng.choice([43, 64, 86])) + rng.choice(["", "=", "=="]), 0))
     return [(b[-NEAR:], c, y) for b, c, y in out]
 
 
@@ -118,14 +143,16 @@ def findings(docs: DataFrame, threshold: float = 0.5, each: int = 300) -> DataFr
 
     Candidates come from the whole text by one pattern; the forest scores length, character
     transitions, dictionary coverage, path and neighbouring words. Null and empty texts have no
-    findings; equal findings in one text count once, judged where the first stands;
-    rows that repeat are reported once per id, with the highest score.
+    findings. Equal findings in one text count once: each place is judged by its own neighbourhood
+    and the highest score holds, also over rows that repeat an id.
     """
     trees = train(docs.sparkSession, each)
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    found = text.select("doc_id", "t", F.array_distinct(F.regexp_extract_all("t", F.lit(TOKEN), F.lit(0))).alias("all")).where(F.size("all") > 0)
-    first = "instr(t, s)"
-    found = found.select("doc_id", F.explode(F.expr(f"transform(all, s -> struct(s as secret, substring(t, greatest(1, {first} - {NEAR}), least({NEAR}, {first} - 1)) as before))")).alias("f"))
+    found = text.select("doc_id", "t", F.regexp_extract_all("t", F.lit(TOKEN), F.lit(0)).alias("all")).where(F.size("all") > 0)
+    found = found.select("doc_id", "all", F.split("t", TOKEN, -1).alias("between"))
+    # a candidate and the text before it are 8 characters or more, so NEAR / 8 of them reach far enough
+    before = f"right(array_join(transform(sequence(greatest(0, i - {NEAR // 8}), i), j -> concat(right(between[j], {NEAR}), if(j < i, right(all[j], {NEAR}), ''))), ''), {NEAR})"
+    found = found.select("doc_id", F.explode(F.expr(f"array_distinct(transform(all, (s, i) -> struct(s as secret, {before} as before)))")).alias("f"))
     cols = [f"x.{n}" for n in NAMES]
     held = F.struct(*[f.cast("double").alias(n) for n, f in zip(NAMES, features(F.col("f.secret"), F.col("f.before")))])
     # a generator of one row keeps the optimizer from copying the features into each node of each tree
@@ -137,11 +164,13 @@ def findings(docs: DataFrame, threshold: float = 0.5, each: int = 300) -> DataFr
 def redact(docs: DataFrame, threshold: float = 0.5, each: int = 300) -> DataFrame:
     """docs with each found secret replaced by MARK in text; all rows stay, all columns as they were.
 
-    n_chars, where there is one, follows the new text. Secrets are replaced longest first.
+    n_chars, where there is one, follows the new text. Secrets are replaced longest first; those under
+    LONG characters only where they are no part of a longer word.
     """
     bad = findings(docs, threshold, each).where("is_secret").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct(F.length("secret").alias("n"), "secret")), asc=False).alias("_bad"))
     bad = bad.withColumnRenamed("doc_id", "_id")
-    clean = F.expr(f"aggregate(_bad, text, (t, s) -> replace(t, s.secret, '{MARK}'))")
+    alone = r"concat('(?<![A-Za-z0-9_])\\Q', s.secret, '\\E(?![A-Za-z0-9_])')"
+    clean = F.expr(f"aggregate(_bad, text, (t, s) -> if(s.n >= {LONG}, replace(t, s.secret, '{MARK}'), regexp_replace(t, {alone}, '{MARK}')))")
     out = docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_id")), "left").withColumn("text", F.when(F.col("_bad").isNull(), F.col("text")).otherwise(clean))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_bad").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint")))

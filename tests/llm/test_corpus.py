@@ -139,6 +139,23 @@ def test_secrets(spark):
     assert text == {1: f'the token = "{secrets.MARK}" here', 2: rows[1][1], 3: None, 4: "", 5: "plain words only"}
 
 
+def test_secrets_of_all_lengths_alphabets_and_places(spark):
+    rng = random.Random(6)
+    text = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    aws, hexa = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    jwt = f"eyJ{text(alnum, 33)}.eyJ{text(alnum, 800)}.{text(alnum + '_-', 86)}"
+    letters = "qWzRtYpLkJhGfDsAxCvBnMqE"
+    rows = [(1, f"secret = {aws}"), (2, f"Authorization: Bearer {jwt}"), (3, 'password: "tR7!kq9Zx2" set'), (4, f'api_key="{letters}"')]
+    rows += [(5, f'at commit {hexa} we set {"much of the text " * 3} token = "{hexa}"'), (6, "the password policy of /usr/local/lib/python/site/index or the key findings, see either/or/neither/nor/both")]
+    rows += [(7, f"{aws} and then {aws}")]
+    df = frame(spark, [(*r, None, None, None, "c") for r in rows])
+    got = {(r.doc_id, r.secret) for r in secrets.findings(df).where("is_secret").collect()}
+    assert got == {(1, aws), (2, jwt), (3, "tR7!kq9Zx2"), (4, letters), (5, hexa), (7, aws)}
+    clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert clean[1] == f"secret = {secrets.MARK}" and clean[3] == f'password: "{secrets.MARK}" set' and hexa not in clean[5] and clean[6] == rows[5][1]
+
+
 def test_decontamination(spark):
     rng = random.Random(8)
     item = " ".join(f"q{rng.randint(0, 900)}" for _ in range(30))
