@@ -111,6 +111,19 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_bands_meet_at_the_link_rule():
+    rng = np.random.default_rng(3)
+    for length, edits in [(9, 1), (20, 2), (60, 6), (200, 22)]:
+        met = 0
+        for _ in range(60):
+            a = rng.integers(1, 1 << 60, length).astype(np.uint64)
+            b = a.copy()
+            b[rng.choice(length, edits, replace=False)] = rng.integers(1, 1 << 60, edits).astype(np.uint64)
+            assert neardup.distance(a, b) <= 0.2 + 1e-12
+            met += bool((neardup.band_keys(a) == neardup.band_keys(b)).any())
+        assert met >= 59
+
+
 def test_mixing(spark):
     rng = random.Random(2)
     rows = [(i, "w " * rng.randint(1, 60), None, rng.choice(["a", "b", "c", None]), None, "c") for i in range(2000)] + [(5000, None, None, "a", None, "c")]
