@@ -220,3 +220,14 @@ def test_main_text(spark):
     df = spark.createDataFrame([(i, "http://h.org/a", body(i)) for i in range(6)] + [(9, None, None)], "page_id bigint, url string, html string")
     got = {r.page_id: r.text for r in pages.main_text(df).collect()}
     assert got[1].startswith("T1\n\nBody & more 1") and "cookies" not in got[1] and "nice" not in got[1] and got[9] == ""
+
+
+@pytest.mark.parametrize("raw", ["<svg width='1'/>", "<math/>", "<object data='x' />", "<script src='x' />", "<svg width='1'>", "<iframe src='x'>"])
+def test_elements_without_an_end_are_empty(raw):
+    assert [x[1] for x in pages.blocks(f"<article><p>before</p>{raw}<p>after</p></article>")] == ["before", "after"]
+
+
+def test_article_text_stays():
+    page = "<article id='side-effects'><h2 id='related-work'>Related</h2><section id='search-methods'><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>TeX</annotation></math> be</p></section>"
+    page += "<object data='v'>Fallback</object><p class='side-effects'>Effects</p><div class='ad'>Buy</div><div class='big social-share buttons'>Share</div><div class='related-posts'>More</div><script>var x;</script></article>"
+    assert [x[1] for x in pages.blocks(page) if not x[2]] == ["Related", "Let x=1 be", "Fallback", "Effects"]
