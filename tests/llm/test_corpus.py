@@ -231,3 +231,12 @@ def test_article_text_stays():
     page = "<article id='side-effects'><h2 id='related-work'>Related</h2><section id='search-methods'><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>TeX</annotation></math> be</p></section>"
     page += "<object data='v'>Fallback</object><p class='side-effects'>Effects</p><div class='ad'>Buy</div><div class='big social-share buttons'>Share</div><div class='related-posts'>More</div><script>var x;</script></article>"
     assert [x[1] for x in pages.blocks(page) if not x[2]] == ["Related", "Let x=1 be", "Fallback", "Effects"]
+
+
+def test_template_of_repeated_and_mirrored_pages(spark):
+    page = lambda note, ad: f"<div class='top'>Site</div><p>{ad}</p><article><h1>Title {note}</h1><p>Only {note}</p></article><div>Imprint</div>"
+    rows = [(1, "http://one.org/a", page("a", "x"))] * 3 + [(i, f"http://mirror.org/{i}", page("b", f"ad {i}")) for i in range(2, 6)]
+    rows += [(10 + i, "http://many.org", "<div>Site</div>" + "".join(f"<div>own {i} {j}</div>" for j in range(i)) + f"<h1>T{i}</h1><div>{'Quoted' if i < 5 else 'Other'}</div><div>Imprint</div>") for i in range(1, 8)]
+    got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[1] == "Title a\n\nOnly a" and all(got[i] == "Title b\n\nOnly b" for i in range(2, 6))
+    assert got[12] == "own 2 0\n\nown 2 1\n\nT2\n\nQuoted" and got[16] == "\n\n".join([f"own 6 {j}" for j in range(6)] + ["T6", "Other"])
