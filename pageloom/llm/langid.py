@@ -15,6 +15,8 @@ from pageloom.llm.common import held_out, uniform
 #: Runs of letters; digits, marks of punctuation and the underscore end a word.
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 5
+#: Labelled documents to draw of a rare language.
+FLOOR = 100
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -112,14 +114,17 @@ class Model:
 def train(docs: DataFrame, max_docs: int = 3000, max_terms: int = 8000) -> Model:
     """Counts words and n-grams of labelled documents that are not held out.
 
-    Bounds: about max_docs labelled documents, drawn evenly by a hash of the id, and the max_terms
-    commonest words and n-grams of each order and language, so the model never grows with the
+    Bounds: about max_docs labelled documents, drawn evenly by a hash of the id, but FLOOR of each
+    language or all that it has; and the words and n-grams that are among the max_terms commonest of
+    their order in some language, with their counts in all, so the model never grows with the
     corpus. No labelled rows: a model without languages.
     """
     rows = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
-    n = rows.select("doc_id").count()
+    size = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    n = sum(size.values())
     if n > max_docs:
-        rows = rows.where(uniform(F.col("doc_id"), seed=3) < max_docs / n)
+        rate = F.create_map(*[F.lit(x) for lang, k in size.items() for x in (lang, float(max(max_docs / n, FLOOR / k)))])
+        rows = rows.where(uniform(F.col("doc_id"), seed=3) < rate[F.col("lang")])
 
     def count(batches):
         seen: dict[str, Counter] = {}
@@ -138,7 +143,8 @@ def train(docs: DataFrame, max_docs: int = 3000, max_terms: int = 8000) -> Model
     out = pa.schema([("lang", pa.string()), ("ord", pa.int32()), ("gram", pa.string()), ("n", pa.int64())])
     counts = rows.select("lang", "text").mapInArrow(count, "lang string, ord int, gram string, n bigint").groupBy("lang", "ord", "gram").agg(F.sum("n").alias("n"))
     top = Window.partitionBy("lang", "ord").orderBy(F.desc("n"), "gram")
-    kept = counts.withColumn("r", F.row_number().over(top)).where(F.col("r") <= max_terms).drop("r")
+    ranked = counts.withColumn("r", F.row_number().over(top))
+    kept = ranked.withColumn("best", F.min("r").over(Window.partitionBy("ord", "gram"))).where(F.col("best") <= max_terms).drop("r", "best")
     return Model([tuple(r) for r in kept.collect()])
 
 

@@ -240,3 +240,11 @@ def test_template_of_repeated_and_mirrored_pages(spark):
     got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     assert got[1] == "Title a\n\nOnly a" and all(got[i] == "Title b\n\nOnly b" for i in range(2, 6))
     assert got[12] == "own 2 0\n\nown 2 1\n\nT2\n\nQuoted" and got[16] == "\n\n".join([f"own 6 {j}" for j in range(6)] + ["T6", "Other"])
+
+
+def test_rare_languages_and_cut_terms_are_learned(spark):
+    rows = [(i, "the house", "en", None, None, "c") for i in range(600)] + [(1000 + i, "xylo qix", "xx", None, None, "c") for i in range(3)]
+    assert langid.train(frame(spark, rows), max_docs=20).langs == ["en", "xx"]
+    rows = [(i, text, lang, None, None, "c") for i in range(40) for lang, text in [("de", "bbb " * 10 + "aaa " * 9), ("en", "aaa " * 10 + "bbb " * 9)]]
+    model = langid.train(frame(spark, rows), max_terms=1)
+    assert np.ptp(model.matrix[[model.tables[0]["aaa"], model.tables[0]["bbb"]]], axis=1).max() < 0.5
