@@ -6,6 +6,7 @@ import re
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD)
 SEED = 0x9E3779B97F4A7C15
+#: Stands for a null id: it is the largest.
+NO_ID = (1 << 63) - 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
@@ -33,14 +36,40 @@ def uniform(*cols: Column, seed: int = 0) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def batch(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], list(columns))
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes the rows to the shared checkpoint folder and reads them back without lineage."""
+    """Writes the rows to the shared checkpoint folder and reads them back without lineage.
+
+    Without spark.checkpoint.dir a temporary folder does in local mode only: on a cluster executors
+    would write to folders that the driver and other executors cannot read.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp())
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp())
     return df.checkpoint()
 
 
+def packed(df: DataFrame, rows: int = 100_000) -> tuple[DataFrame, int]:
+    """cut(df), read back by as many tasks as its rows need, and the number of its rows."""
+    out = cut(df)
+    n = out.count()
+    return out.coalesce(max(1, -(-n // rows))), n
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads 64-bit values (wrapping arithmetic)."""
     x = x ^ (x >> np.uint64(32))
@@ -72,6 +101,15 @@ def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(SEED))
 
 
+def sliding_hashes(values: np.ndarray, size: int, which: int = 0) -> np.ndarray:
+    """range_hashes() of each run of `size` values."""
+    up, down = powers(_BASES[which], len(values) + 1)
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=total[1:])
+    n = max(0, len(values) - size + 1)
+    return mix((total[size : size + n] - total[:n]) * down[:n] + np.uint64(size * SEED & (1 << 64) - 1))
+
+
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end byte of each word of UTF-8 bytes."""
     inside = np.zeros(len(data) + 2, np.int8)
@@ -80,9 +118,9 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
-def words_of(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes, word starts, word ends and a 64-bit hash of each word."""
-    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+def words_of(text: str | bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, word starts, word ends and a 64-bit hash of each word of a text or its UTF-8 bytes."""
+    data = np.frombuffer(text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass"), np.uint8)
     starts, ends = word_spans(data)
     return data, starts, ends, range_hashes(data, starts, ends)
 
