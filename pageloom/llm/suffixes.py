@@ -3,33 +3,49 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import range_hashes
-from pageloom.llm.substrings import NO_ID, batch, covered
+from pageloom.llm.common import NO_ID, batch, range_hashes, sliding_hashes
+from pageloom.llm.substrings import COMMON, covered, keyed, sampled, shared_anchors, squeezed
 
 SEPARATOR = 0xFF  # never a byte of UTF-8
-#: Alphabets up to this size are induced bucket by bucket; larger ones are ranked by doubling.
+#: Alphabets up to this size are induced a bucket at a time, by array operations; larger ones, the names
+#: of deeper levels, whose buckets hold few suffixes, a suffix at a time.
 WIDEST = 2048
+#: Texts whose windows are found together.
+TEXTS = 100
 
 
-def doubled(t: np.ndarray) -> np.ndarray:
-    """Suffix order of a string over a large alphabet, by ranks of doubling prefixes."""
-    rank, width, n = t.astype(np.int64), 1, len(t)
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - width)] = rank[width:] + 1
-        key = rank * (rank.max() + 2) + after
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
-        rank[order] = new
-        if new[-1] == n - 1 or width >= n:
-            return order
-        width *= 2
+def induced_singly(t: np.ndarray, small: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Suffix order of t, given its leftmost-smaller suffixes in order, by two scans of all suffixes."""
+    n = len(t)
+    ends = np.cumsum(np.bincount(t))
+    tail, head = ends.tolist(), [0, *ends[:-1].tolist()]
+    # the symbol before each suffix if a scan has to place it, else -1; n stands for an empty place
+    before, type_before = np.append(t[:-1], -1), np.append(small[:-1], False)
+    larger = [-1, *np.where(type_before, -1, before)[:-1].tolist(), -1]
+    smaller = [-1, *np.where(type_before, before, -1)[:-1].tolist(), -1]
+    sa = [n] * n
+    for i, c in zip(order[::-1].tolist(), t[order[::-1]].tolist()):
+        tail[c] -= 1
+        sa[tail[c]] = i
+    for i in sa:  # places ahead are filled on the way
+        c = larger[i]
+        if c >= 0:
+            sa[head[c]] = i - 1
+            head[c] += 1
+    tail = ends.tolist()
+    for i in reversed(sa):
+        c = smaller[i]
+        if c >= 0:
+            tail[c] -= 1
+            sa[tail[c]] = i - 1
+    return np.array(sa, np.int64)
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
@@ -37,20 +53,19 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
 
     Suffixes are classified as smaller or larger than the next one; leftmost-smaller substrings are
     sorted by one induction and named; if names repeat, the string of names is sorted recursively;
-    a last induction places all suffixes. A bucket is induced in rounds of array operations: a
-    round's own symbol goes to the next round, all others to the end of their buckets.
+    a last induction places all suffixes. Over bytes a bucket is induced in rounds of array operations:
+    a round's own symbol goes to the next round, all others to the end of their buckets.
     """
     n, top = len(t), int(t.max()) + 1
     if n == 1:
         return np.zeros(1, np.int64)
-    if top > WIDEST:
-        return doubled(t)
-    t = t.astype(np.int16)
+    t = t.astype(np.int16 if top <= WIDEST else np.int64)
     step = np.sign(t[1:].astype(np.int32) - t[:-1])
     differs = np.where(step != 0, np.arange(n - 1), n)
     following = np.minimum.accumulate(differs[::-1])[::-1]
     small = np.ones(n, bool)
     small[:-1] = step[np.minimum(following, n - 2)] > 0
+    small[n - 2] = False  # the last symbol is the least
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     size = np.bincount(t, minlength=top)
     head = np.cumsum(size) - size
@@ -70,6 +85,8 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
             ptr += count
 
     def induce(order: np.ndarray) -> np.ndarray:
+        if top > WIDEST:
+            return induced_singly(t, small, order)
         sa = np.full(n, -1, np.int64)
         own = np.argsort(t[order], kind="stable")
         first = np.searchsorted(t[order][own], np.arange(top + 1))
@@ -169,143 +186,202 @@ def earlier_windows(segments: list[bytes], ids: np.ndarray, width: int) -> list[
     return np.bincount(owner[hit], weights=2.0 ** place[hit], minlength=len(segments)).astype(np.int64).tolist()
 
 
-def minimal_anchors(data: np.ndarray, width: int, k: int) -> np.ndarray:
-    """Places of k-grams whose hash is least in some run of width - k + 1; each window holds one."""
-    n = len(data)
-    if n < width:
-        return np.zeros(0, np.int64)
-    at = np.arange(n - k + 1)
-    h = range_hashes(data, at, at + k)
-    run = width - k + 1
+def short_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of 48 bits of data[s:e]; keys of a segment have two, its anchor's and its own."""
+    return (range_hashes(data, starts, ends) & np.uint64((1 << 48) - 1)).view(np.int64)
+
 
-    def slide(v: np.ndarray, f) -> np.ndarray:
-        size = 1
-        while size * 2 <= run:
-            v = f(v[:-size], v[size:])
-            size *= 2
-        return f(v[: len(v) - (run - size)], v[run - size :]) if run > size else v
+def first_least(values: np.ndarray, run: int) -> np.ndarray:
+    """The place of the least, and of equal ones the first, of each `run` values in a row."""
+    least, size = np.arange(len(values), dtype=np.int32), 1
+    while size < run:
+        step = min(size, run - size)
+        left = values[:-step] <= values[step:]
+        least = np.where(left, least[:-step], least[step:])
+        values = np.where(left, values[:-step], values[step:])
+        size += step
+    return least
 
-    low = slide(h, np.minimum)
-    pad = np.zeros(run - 1, np.uint64)
-    return np.flatnonzero(slide(np.concatenate([pad, low, pad]), np.maximum) == h)
 
+def segments(texts: list[bytes], width: int, k: int) -> tuple[np.ndarray, ...]:
+    """The joined bytes, and text, anchor hash, start in the joined bytes and number of windows of each segment.
 
-def remove_repeats(docs: DataFrame, width: int = 50, k: int = 20, shard_bytes: int = 1 << 20) -> DataFrame:
+    The anchor of a window of `width` bytes is its k-gram whose hash is least, the first of equal
+    ones, so equal windows have equal anchors at equal places, and those places never fall along a
+    text. A segment is the windows in a row that have one anchor; none crosses texts.
+    """
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    size = np.array([len(t) for t in texts], np.int64)
+    windows = np.maximum(size - width + 1, 0)
+    text = np.repeat(np.arange(len(texts)), windows)
+    if not len(text):
+        return data, text, text, text, text
+    at = np.arange(len(text)) + np.repeat(np.cumsum(size) - size - (np.cumsum(windows) - windows), windows)
+    h = (sliding_hashes(data, k) & np.uint64((1 << 48) - 1)).view(np.int64)
+    anchor = first_least(h, width - k + 1)[at]
+    first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]))
+    return data, text[first], h[anchor[first]], at[first], np.diff(np.append(first, len(text)))
+
+
+def apart(data: np.ndarray, text: np.ndarray, key: np.ndarray, start: np.ndarray, count: np.ndarray, split: np.ndarray, width: int):
+    """text, key, start and count after each window of the anchors in `split` is a segment, keyed by its own hash."""
+    hit = np.isin(key, split)
+    if not hit.any():
+        return text, key, start, count
+    total = count[hit]
+    s = np.repeat(start[hit] - np.cumsum(total) + total, total) + np.arange(total.sum())
+    columns = (np.repeat(text[hit], total), range_hashes(data, s, s + width, 1).view(np.int64), s, np.ones(len(s), np.int64))
+    return tuple(np.concatenate([old[~hit], new]) for old, new in zip((text, key, start, count), columns))
+
+
+def distinct(text: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of text (under 2**15) and key (48 bits), each once."""
+    pairs = np.unique((text << 48) | key)
+    return pairs >> 48, pairs & ((1 << 48) - 1)
+
+
+def remove_repeats(docs: DataFrame, width: int = 50, k: int = 20, shard_bytes: int = 1 << 20, hot: float = 0.01, one_in: int = 64) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes that stay) of each row of docs.
 
     A byte goes if a string of `width` bytes over it also starts in a document with a smaller id.
-    Every such string holds a minimal anchor, the same in each of its copies. The bytes around the
-    anchors that several documents share, width - k before and width after, are the segments; equal
-    ones are first merged, with their least id, by an aggregation. Segments of an anchor meet in a
-    shard; its suffix array, by induced sorting, and its permuted common prefixes put equal windows
-    side by side, and each run of those gives the least id. Shards are cut at `shard_bytes` between
-    anchors, so their memory is bounded by that and the distinct contexts of one anchor.
-
-    A row whose whole text has a copy of smaller id loses everything if it has a window. Null texts
-    count as empty; a null id is the largest; rows that repeat an id are never held against each
-    other; strings never cross rows; an empty table gives no rows.
+    Every such string, a window, has an anchor, the same in each of its copies. The windows of an
+    anchor that several documents have are a segment of the text; equal ones are merged, with their
+    least id, before they move. Segments of an anchor meet in a shard; its suffix array, by induced
+    sorting, and its permuted common prefixes put equal windows side by side, and each run of those
+    gives the least id. Shards are cut at `shard_bytes` between anchors. Anchors with many different
+    segments in a sample, one in `one_in` rows, at least `hot` of its rows, have their windows dealt
+    out one by one; a shard's memory is bounded by that and the contexts of one other anchor.
+
+    A row whose whole text has a copy of smaller id loses everything if it has a window, and its own
+    windows are not looked at, as the copy has the same. Null texts count as empty; a null id is the
+    largest; rows that repeat an id are never held against each other; strings never cross rows; an
+    empty table gives no rows; other columns of docs do not matter.
     """
-    d = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    d = d.select("id", F.xxhash64("text").alias("k"), F.encode("text", "UTF-8").alias("data"))
-    low48 = np.uint64((1 << 48) - 1)
-
-    def hashed(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return (range_hashes(data, at, at + k) & low48).view(np.int64)
-
-    def emit(distinct: bool):
-        def run(batches):
-            for b in batches:
-                for at in range(0, b.num_rows, 200):
-                    part = b.slice(at, 200)
-                    ids, places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                    for i, raw in zip(part.column("id").to_pylist(), part.column("data").to_pylist()):
-                        data = np.frombuffer(raw, np.uint8)
-                        p = minimal_anchors(data, width, k)
-                        h = hashed(data, p)
-                        if distinct:
-                            hashes.append(np.unique(h))
-                        else:
-                            ids.append(np.full(len(p), i)), places.append(p), hashes.append(h)
-                    if distinct:
-                        yield batch({"h": (np.concatenate(hashes), pa.int64())})
-                    else:
-                        yield batch({"id": (np.concatenate(ids), pa.int64()), "pos": (np.concatenate(places), pa.int32()), "h": (np.concatenate(hashes), pa.int64())})
-
-        return run
-
-    bytes_of = d.select("id", "data")
-    shared = bytes_of.mapInArrow(emit(True), "h bigint").groupBy("h").count().where("count > 1").select("h")
-    hits = bytes_of.mapInArrow(emit(False), "id bigint, pos int, h bigint").join(shared, "h").select("id", "pos", F.lit(None).cast("bigint").alias("copy"))
-    whole = d.select("id", "k", F.md5("data").alias("m"))
-    least = whole.groupBy("m").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("m", "lo")
-    copies = whole.join(least, "m").where("id > lo").select("id", F.lit(None).cast("int").alias("pos"), F.col("k").alias("copy"))
-    info = hits.unionByName(copies).groupBy("id").agg(F.collect_list("pos").alias("at"), F.collect_set("copy").alias("copies"))
-
-    def segments(batches):
+    rows = keyed(docs)
+    d = squeezed(rows)
+
+    def own_anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        _, text, key, _, _ = segments(texts, width, k)
+        return distinct(text, key)
+
+    few = sampled(rows, one_in)
+
+    def contexts(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 100):
-                part = b.slice(at, 100)
-                out: list[tuple] = []
-                for i, kk, raw, pos, own in zip(*(part.column(c).to_pylist() for c in ("id", "k", "data", "at", "copies"))):
-                    if kk in own or not pos:
-                        continue
-                    data = np.frombuffer(raw, np.uint8)
-                    p = np.unique(np.array(pos))
-                    p = p[p <= len(data) - k]
-                    lo = np.maximum(p - (width - k), 0)
-                    hi = np.minimum(p + width, len(data))
-                    for h, s, e in zip(hashed(data, p).tolist(), lo.tolist(), hi.tolist()):
-                        if e - s >= width:
-                            out.append((h, raw[s:e], i, kk, s))
-                yield batch({c: (list(v), t) for c, v, t in zip(("h", "seg", "id", "k", "s"), zip(*out) if out else [()] * 5, [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32()])})
-
-    seg = d.join(info, "id").mapInArrow(segments, "h bigint, seg binary, id bigint, k bigint, s int").withColumn("g", F.xxhash64("seg"))
-    merged = seg.groupBy("h", "g", "seg").agg(F.min("id").alias("lo"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            for at in range(0, b.num_rows, TEXTS):
+                data, _, key, start, count = segments([t.encode("utf-8", "surrogatepass") for t in b.column("text").slice(at, TEXTS).to_pylist()], width, k)
+                yield batch({"h": (key, pa.int64()), "g": (short_hashes(data, start, start + count + width - 1), pa.int64())})
+
+    kinds = few.mapInArrow(contexts, "h bigint, g bigint").groupBy("h", "g").count().groupBy("h").agg(F.sum("count").alias("c"), F.count("*").alias("kinds"))
+    kinds = kinds.where("c > 1").orderBy(F.desc("c"), "h").limit(COMMON).collect()
+    limit = max(8.0, hot * few.count())
+    common, split = [r["h"] for r in kinds], np.array([r["h"] for r in kinds if r["kinds"] >= limit], np.int64)
+    both = d.select("id", "k", "z").join(shared_anchors(d, common, own_anchors), ["id", "k"])
+
+    def shared(part: pa.RecordBatch):
+        """Ids, ks and the segments of known anchors of the rows of part."""
+        raws = [zlib.decompress(z) for z in part.column("z").to_pylist()]
+        known = [np.array(x, np.int64) for x in part.column("hashes").to_pylist()]
+        codes = np.concatenate([x | (i << 48) for i, x in enumerate(known)]) if known else np.zeros(0, np.int64)
+        data, text, key, start, count = segments(raws, width, k)
+        mine = np.isin(key | (text << 48), codes)
+        text, key, start, count = apart(data, text[mine], key[mine], start[mine], count[mine], split, width)
+        first = np.cumsum([0, *map(len, raws)])[text]
+        return data, part.column("id").to_numpy()[text], part.column("k").to_numpy()[text], key, start, count, start - first
+
+    def texts(batches):
+        least: dict[tuple[int, bytes], list[int]] = {}
+
+        def rows():
+            keys, ids = list(least), list(least.values())
+            least.clear()
+            columns = [[x[0] for x in keys], [x[1] for x in keys], [x[0] for x in ids], [x[0] < x[1] for x in ids]]
+            return batch(dict(zip(("key", "seg", "lo", "more"), zip(columns, [pa.int64(), pa.binary(), pa.int64(), pa.bool_()]))))
+
+        for b in batches:
+            for at in range(0, b.num_rows, TEXTS):
+                data, ids, _, key, start, count, _ = shared(b.slice(at, TEXTS))
+                raw = data.tobytes()
+                for h, i, s, e in zip(key.tolist(), ids.tolist(), start.tolist(), (start + count + width - 1).tolist()):
+                    have = least.setdefault((h, raw[s:e]), [i, i])
+                    have[0], have[1] = min(have[0], i), max(have[1], i)
+                if len(least) > 200_000:
+                    yield rows()
+        yield rows()
+
+    def places(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, TEXTS):
+                data, ids, ks, key, start, count, place = shared(b.slice(at, TEXTS))
+                g = short_hashes(data, start, start + count + width - 1)
+                columns = [key, g, ids, ks, (place << 6) | count]
+                yield batch(dict(zip(("key", "g", "id", "k", "sc"), zip(columns, [pa.int64()] * 5))))
 
     def sort_shards(batches):
-        have: list[tuple] = []
-        size = 0
+        have: list[tuple[int, bytes, int, bool]] = []  # segments of anchors in several contexts
+        alone: list[tuple[int, bytes, int, bool]] = []  # those of anchors in one, whose windows have its least id
+        own: dict[bytes, list] = {}
+        size, last = 0, None
+
+        def close():
+            rows = [(last, seg, lo, more) for seg, (lo, more) in own.items()]
+            (have if len(rows) > 1 else alone).extend(rows)
+            own.clear()
+            return sum(len(x[1]) + 1 for x in rows) if len(rows) > 1 else 0
 
         def done():
-            bits = earlier_windows([x[2] for x in have], np.array([x[3] for x in have], np.int64), width)
-            return batch({"h": ([x[0] for x in have], pa.int64()), "g": ([x[1] for x in have], pa.int64()), "lo": ([x[3] for x in have], pa.int64()), "bits": (bits, pa.int64())})
+            h, segs, lo, more = (list(c) for c in zip(*have, *alone)) if have or alone else ([], [], [], [])
+            lo, more = np.array(lo, np.int64), np.array(more, bool)
+            bits = np.zeros(len(h), np.int64)
+            if have:
+                bits[: len(have)] = earlier_windows(segs[: len(have)], lo[: len(have)], width)
+            some = np.flatnonzero((bits != 0) | more)
+            length = np.array([len(segs[x]) for x in some], np.int64)
+            joined, ends = np.frombuffer(b"".join(segs[x] for x in some), np.uint8), np.cumsum(length)
+            g = short_hashes(joined, ends - length, ends)
+            have.clear(), alone.clear()
+            columns = (np.array(h, np.int64)[some], g, lo[some], bits[some])
+            return batch(dict(zip(("key", "g", "lo", "bits"), zip(columns, [pa.int64()] * 4))))
 
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("h", "g", "seg", "lo"))):
-                if size >= shard_bytes and row[0] != have[-1][0]:
-                    yield done()
-                    have, size = [], 0
-                have.append(row)
-                size += len(row[2]) + 1
-        if have:
-            yield done()
-
-    found = merged.repartition(n, "h").sortWithinPartitions("h").mapInArrow(sort_shards, "h bigint, g bigint, lo bigint, bits bigint")
-    every = F.expr(f"shiftleft(1L, length(seg) - {width - 1}) - 1")  # a bit for each window of the segment
-    dup = seg.select("h", "g", "id", "k", "s", every.alias("every")).join(found, ["h", "g"]).withColumn("bits", F.when(F.col("id") > F.col("lo"), F.col("every")).otherwise(F.col("bits"))).where("bits <> 0")
-    dup = dup.groupBy("id").agg(F.collect_list(F.struct("k", "s", "bits")).alias("dup"))
-    gone = copies.groupBy("id").agg(F.collect_set("copy").alias("copies"))
+            for h, seg, lo, more in zip(*(b.column(c).to_pylist() for c in ("key", "seg", "lo", "more"))):
+                if h != last:
+                    size += close()
+                    if size >= shard_bytes or len(alone) > 50_000:
+                        yield done()
+                        size = 0
+                    last = h
+                known = own.setdefault(seg, [lo, more])
+                known[0], known[1] = min(known[0], lo), known[1] or more or known[0] != lo
+        close()
+        yield done()
+
+    seg = both.mapInArrow(texts, "key bigint, seg binary, lo bigint, more boolean")
+    found = seg.repartition("key").sortWithinPartitions("key").mapInArrow(sort_shards, "key bigint, g bigint, lo bigint, bits bigint")
+    dup = both.mapInArrow(places, "key bigint, g bigint, id bigint, k bigint, sc bigint").join(found, ["key", "g"])
+    # a segment's windows, up to width - k + 1 of them, are bits of a long below its start
+    every = F.expr("shiftleft(1L, cast(sc & 63 as int)) - 1")
     reach = width - k + 1
+    dup = dup.withColumn("bits", F.when(F.col("id") > F.col("lo"), every).otherwise(F.col("bits"))).where("bits <> 0")
+    dup = dup.groupBy("id", "k").agg(F.collect_list(F.shiftleft(F.shiftright("sc", 6), reach).bitwiseOR(F.col("bits"))).alias("dup"))
     names = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
 
     def finish(batches):
         for b in batches:
             rows = []
-            for i, kk, raw, got, own in zip(*(b.column(c).to_pylist() for c in ("id", "k", "data", "dup", "copies"))):
-                size = len(raw)
-                if kk in (own or ()):
+            for i, z, got, copy in zip(*(b.column(c).to_pylist() for c in ("id", "z", "dup", "copy"))):
+                data = np.frombuffer(zlib.decompress(z), np.uint8)
+                size = len(data)
+                if copy:
                     out = np.full(size, size >= width)
                 else:
-                    mine = [(x["s"], x["bits"]) for x in got or () if x["k"] == kk]
-                    s, bits = (np.array(x, np.int64) for x in zip(*mine)) if mine else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-                    starts = s[:, None] + np.arange(reach)
-                    on = (bits[:, None] >> np.arange(reach)) & 1 > 0
-                    starts = starts[on & (starts <= size - width)]
-                    out = covered(starts, width, size)
+                    mine = np.array(got or (), np.int64)
+                    on = (mine[:, None] >> np.arange(reach)) & 1 > 0
+                    out = covered(((mine >> reach)[:, None] + np.arange(reach))[on], width, size)
                 edge = np.diff(np.concatenate([[False], out, [False]]).astype(np.int8))
-                kept = np.frombuffer(raw, np.uint8)[~out].tobytes()
+                kept = data[~out].tobytes()
                 rows.append((None if i == NO_ID else i, size, int(out.sum()), int((edge == 1).sum()), hashlib.sha256(kept).hexdigest(), kept))
-            yield batch({c.split()[0]: (list(v), t) for c, v, t in zip(names.split(", "), zip(*rows) if rows else [()] * 6, [pa.int64()] * 4 + [pa.string(), pa.binary()])})
+            columns = zip(*rows) if rows else [()] * 6
+            yield batch({c.split()[0]: (list(v), t) for c, v, t in zip(names.split(", "), columns, [*[pa.int64()] * 4, pa.string(), pa.binary()])})
 
-    return d.join(dup, "id", "left").join(gone, "id", "left").select("id", "k", "data", "dup", "copies").mapInArrow(finish, names)
+    return d.join(dup, ["id", "k"], "left").select("id", "z", "dup", "copy").mapInArrow(finish, names)

@@ -53,6 +53,7 @@ def plain(rows, split, w=50):
 def test_substring_dedup(spark):
     rows = texts()
     want = plain(rows, lambda t: WORD.findall(t or ""))
+    assert substrings.remove_repeats(frame(spark, [])).count() == 0
     got = substrings.remove_repeats(frame(spark, rows)).collect()
     assert len(got) == len(rows)
     for r in got:
@@ -61,10 +62,12 @@ def test_substring_dedup(spark):
         assert (r.n_words, r.n_removed, r.kept_sha256) == (len(parts), sum(gone), hashlib.sha256(kept.encode()).hexdigest())
 
 
-def test_suffix_dedup(spark):
+@pytest.mark.parametrize("hot", [0.0, 1.0])
+def test_suffix_dedup(spark, hot):
     rows = texts()
     want = plain(rows, lambda t: list((t or "").encode()))
-    for r in suffixes.remove_repeats(frame(spark, rows), shard_bytes=2000).collect():
+    assert suffixes.remove_repeats(frame(spark, [])).count() == 0
+    for r in suffixes.remove_repeats(frame(spark, rows), shard_bytes=2000, hot=hot, one_in=1).collect():
         parts, gone = want[1 << 62 if r.doc_id is None else r.doc_id]
         spans = sum(g and (j == 0 or not gone[j - 1]) for j, g in enumerate(gone))
         kept = bytes(p for p, g in zip(parts, gone) if not g)
@@ -77,7 +80,18 @@ def test_suffix_array(alphabet):
     for _ in range(60):
         t = np.array([rng.randint(1, alphabet) for _ in range(rng.randint(1, 50))] + [0])
         want = sorted(range(len(t)), key=lambda i: t[i:].tolist())
-        assert suffixes.suffix_array(t).tolist() == want == suffixes.doubled(t).tolist()
+        assert suffixes.suffix_array(t).tolist() == want
+
+
+def test_suffix_array_of_many_names():
+    rng = np.random.default_rng(5)
+    t = np.append(rng.integers(1, 5000, 9000), 0)
+    t[3000:6000] = t[:3000]
+    assert len(np.unique(t)) > suffixes.WIDEST
+    assert suffixes.suffix_array(t).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+    deep = np.frombuffer(" ".join(str(x) for x in rng.integers(0, 100000, 6000)).encode(), np.uint8).astype(np.int64)
+    t = np.append(deep, 0)
+    assert suffixes.suffix_array(t).tolist() == sorted(range(len(t)), key=lambda i: t[i : i + 40].tolist())
 
 
 def test_difference_cover():
@@ -96,8 +110,9 @@ def test_distance_is_that_of_the_longest_common_subsequence():
                 new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
             row = new
         want = 1 - row[-1] / (len(a) + len(b) - row[-1])
-        if want <= 0.4:
-            assert neardup.distance(np.array(a, np.uint64), np.array(b, np.uint64)) == pytest.approx(want)
+        for farthest in (0.2, 0.4):
+            got = neardup.distance(np.array(a, np.uint64), np.array(b, np.uint64), farthest)
+            assert got == pytest.approx(want) if want <= farthest else got > farthest
 
 
 def test_near_duplicates(spark):
@@ -111,6 +126,37 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("leaf", [4096, 3])
+def test_near_duplicate_classes_against_all_pairs(spark, leaf):
+    rng = random.Random(11)
+    vocab = [f"w{i}" for i in range(400)]
+    passage = [rng.choice(vocab) for _ in range(60)]
+    rows: list = []
+    for base in range(4):
+        words = [rng.choice(vocab) for _ in range(90)]
+        for _ in range(9):
+            edited = [w if rng.random() > 0.07 else rng.choice(vocab) for w in words]
+            rows.append((len(rows), " ".join(edited)))
+    rows += [(100 + i, " ".join([*passage, *(rng.choice(vocab) for _ in range(60))])) for i in range(12)]
+    rows += [(5, rows[20][1]), (None, rows[3][1]), (None, rows[30][1]), (None, "words of its own"), (7, rows[0][1]), (7, rows[0][1]), (200, None), (201, "")]
+    seqs = [np.array([hash(w) & 0xFFFFFFFF for w in (t or "").split()], np.uint64) for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if label[i] != label[j] and len(seqs[i]) and neardup.distance(seqs[i], seqs[j]) <= 0.2 + 1e-12:
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    want = []
+    for (i, _), x in zip(rows, label):
+        ids = [k for (k, _), y in zip(rows, label) if y == x and k is not None]
+        want.append((i, min(ids) if ids else None, label.count(x)))
+    order = lambda r: tuple(-1 if x is None else x for x in r)
+    df = frame(spark, [(*r, None, None, None, "c") for r in rows])
+    assert sorted(map(tuple, neardup.near_duplicates(df, leaf=leaf).collect()), key=order) == sorted(want, key=order)
+    kept = neardup.keep_one(df).collect()
+    assert len(kept) == len(set(label)) and kept[0].k == "c"
+
+
 def test_bands_meet_at_the_link_rule():
     rng = np.random.default_rng(3)
     for length, edits in [(9, 1), (20, 2), (60, 6), (200, 22)]:
