@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import WORD, uniform
+from pageloom.llm.common import WORD, cut, uniform
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0) -> DataFrame:
@@ -32,36 +32,57 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most
 def pareto_mix(docs: DataFrame, size: Column | None = None, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0, seed: int = 7, bins: int = 4096) -> DataFrame:
     """doc_id, source, size, source_size, target and taken (words) for each document.
 
-    Each document of a source with ratio r = target / source_size gets floor(r) certain copies;
-    one more goes to those with the least Pareto rank, odds of a uniform number that follows from
-    the id over the odds of the fraction of r, until the words taken come nearest the target. The
-    cut is found in two steps, bins of the rank and then the rows of one bin, so no source is ever
-    sorted as a whole. Null or wordless texts have size 0 and take 0; a null source is a source;
-    repeated rows count each; an empty table gives an empty result. No document exceeds `most`
-    copies, as no target exceeds `most` times its source.
+    Each document of a source with ratio r = target / source_size gets floor(r) certain copies. One
+    more goes to a Pareto sample of a fixed size in words: a document's odds of inclusion are those
+    of the fraction of r times its size over the source's mean size, and those with the least rank,
+    odds of a uniform number that follows from id and text over the odds of inclusion, are taken
+    until their words come nearest the target. Documents larger than all that is left to take rank
+    after all others. The cut is found in bins of the rank, in bins of one such bin, and among the
+    rows of one of those, so no source is ever sorted as a whole.
+
+    Null or wordless texts have size 0 and take 0; a null source is a source; repeated rows count
+    each; an empty table gives an empty result; other columns don't matter. No document exceeds
+    `most` copies, as no target exceeds `most` times its source. Sizes are counted once and kept
+    in the checkpoint folder, as narrow rows.
     """
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long") if size is None else size
-    d = docs.select("doc_id", "source", size.alias("size"), uniform(F.col("doc_id"), seed=seed).alias("u"))
-    t = targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+    d = cut(docs.select("doc_id", "source", size.alias("size"), uniform(F.col("doc_id"), F.xxhash64("text"), seed=seed).alias("u")))
+    per = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.avg("size").alias("mean"))
+    t = targets(per, weights, most).join(per.select(F.col("source").alias("src"), "mean"), F.col("source").eqNullSafe(F.col("src"))).drop("src")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     t = t.withColumn("whole", F.floor(ratio + 1e-12)).withColumn("part", F.greatest(F.lit(0.0), ratio - F.col("whole")))
     t = t.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     # one row a source: far under any broadcast bound, and Spark falls back to a shuffle beyond its own
-    d = d.join(t.withColumnRenamed("source", "src"), F.col("source").eqNullSafe(F.col("src")), "left").drop("src")
-    rank = (F.col("u") / (1 - F.col("u"))) / (F.greatest(F.col("part"), F.lit(1e-12)) / (1 - F.least(F.col("part"), F.lit(1 - 1e-12))))
-    # all ranks of a source divide by the same odds, so even bins of u are bins of the rank
-    d = d.withColumn("rank", rank).withColumn("bin", F.floor(F.col("u") * bins).cast("int"))
-    b = d.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"), F.first("rest").alias("bin_rest"))
-    upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    b = b.withColumn("before", F.coalesce(F.sum("bin_size").over(upto), F.lit(0)))
-    edge = b.where((F.col("before") <= F.col("bin_rest")) & (F.col("before") + F.col("bin_size") > F.col("bin_rest")))
-    edge = edge.select(F.col("source").alias("src"), F.col("bin").alias("edge"), F.col("before").alias("edge_before"))
-    d = d.join(edge, F.col("source").eqNullSafe(F.col("src")), "left").drop("src")
-    inside = F.col("bin") == F.col("edge")
-    run = Window.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    near = d.where(inside).withColumn("upto", F.col("edge_before") + F.sum("size").over(run))
+    d = _with_source(d, t)
+    part = F.greatest(F.col("part"), F.lit(1e-12))
+    odds = part / (1 - F.least(part, F.lit(1 - 1e-12))) * F.greatest(F.col("size"), F.lit(1)) / F.greatest(F.col("mean"), F.lit(1.0))
+    rank = F.col("u") / (1 - F.col("u")) / odds
+    # a place in (0, 1) that grows with the rank, in the upper half for what can't fit
+    d = d.withColumn("place", (rank / (1 + rank) + F.when(F.col("size") > F.col("rest"), 1.0).otherwise(0.0)) / 2)
+    d = d.withColumn("bin", F.floor(F.col("place") * bins)).withColumn("sub", F.floor((F.col("place") * bins - F.col("bin")) * bins))
+    d = _with_source(d, _edge(d.select("source", "bin", "size", "rest", F.lit(0).alias("start")), "bin"))
+    on_edge = F.col("bin").eqNullSafe(F.col("bin_edge"))
+    d = _with_source(d, _edge(d.where(on_edge).select("source", "sub", "size", "rest", F.col("bin_start").alias("start")), "sub"))
+    inside = on_edge & F.col("sub").eqNullSafe(F.col("sub_edge"))
+    run = Window.partitionBy("source").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    near = d.where(inside).withColumn("upto", F.col("sub_start") + F.sum("size").over(run))
     near = near.withColumn("extra", (F.col("upto") - F.col("size") / 2 <= F.col("rest")).cast("long")).drop("upto")
-    far = d.where(~F.coalesce(inside, F.lit(False))).withColumn("extra", ((F.col("rest") > 0) & (F.col("edge").isNull() | (F.col("bin") < F.col("edge")))).cast("long"))
+    first = F.col("bin_edge").isNull() | (F.col("bin") < F.col("bin_edge")) | on_edge & (F.col("sub") < F.col("sub_edge"))
+    far = d.where(~inside).withColumn("extra", (F.coalesce(first, F.lit(False)) & (F.col("rest") > 0)).cast("long"))
     out = near.unionByName(far)
     taken = (F.least(F.col("whole") + F.col("extra"), F.lit(int(most))) * F.col("size")).cast("long")
     return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+
+
+def _with_source(d: DataFrame, per: DataFrame) -> DataFrame:
+    """d with the columns of its source in per, which has one row a source."""
+    return d.join(per.withColumnRenamed("source", "src"), F.col("source").eqNullSafe(F.col("src")), "left").drop("src")
+
+
+def _edge(rows: DataFrame, key: str) -> DataFrame:
+    """The bin of each source in which the words, counted from start, pass rest, and the words before it."""
+    b = rows.groupBy("source", key).agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("start").alias("start"))
+    upto = Window.partitionBy("source").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    b = b.withColumn("before", F.col("start") + F.coalesce(F.sum("words").over(upto), F.lit(0)))
+    b = b.where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest")))
+    return b.select("source", F.col(key).alias(f"{key}_edge"), F.col("before").alias(f"{key}_start"))

@@ -8,8 +8,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pageloom.llm import decontaminate, fingerprints, langid, mixing, neardup, pages, quality, secrets, substrings, suffixes
+from pageloom.llm.common import uniform
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -183,6 +185,44 @@ def test_mixing(spark):
         assert all(r.taken <= 3 * r["size"] for r in mine)
 
 
+def plain_pareto(rows, targets, seed):
+    """Words taken of each row (doc_id, source, size, u) by sorting all of a source by Pareto rank."""
+    out = {}
+    for s, target in targets.items():
+        mine = [r for r in rows if r[1] == s]
+        total = sum(r[2] for r in mine)
+        whole = int(target / total + 1e-12)
+        part, rest, mean = max(target / total - whole, 1e-12), target - whole * total, total / len(mine)
+        rank = lambda r: r[3] / (1 - r[3]) / (part / (1 - part) * max(r[2], 1) / mean)
+        at = 0
+        for r in sorted(mine, key=lambda r: (r[2] > rest, rank(r))):
+            out[r[0]] = (whole + (rest > 0 and at + r[2] / 2 <= rest)) * r[2]
+            at += r[2]
+    return out
+
+
+@pytest.mark.parametrize("bins", [4096, 3])
+def test_mixing_against_a_plain_pareto_sampler(spark, bins):
+    rng = random.Random(4)
+    rows = [(i, "w " * int(rng.paretovariate(1.1) * 3), None, rng.choice(["a", "a", "a", "b", "c", None]), None, "c") for i in range(900)]
+    rows += [(5000, "w " * 9000, None, "a", None, "c"), (5001, None, None, "b", None, "c")]
+    df = frame(spark, rows)
+    us = {r.doc_id: r.u for r in df.select("doc_id", uniform(F.col("doc_id"), F.xxhash64("text"), seed=7).alias("u")).collect()}
+    got = mixing.pareto_mix(df, bins=bins).collect()
+    want = plain_pareto([(r.doc_id, r.source, r["size"], us[r.doc_id]) for r in got], {r.source: r.target for r in got}, 7)
+    assert {r.doc_id: r.taken for r in got} == want
+    assert mixing.pareto_mix(frame(spark, [])).count() == 0
+
+
+def test_mixing_includes_by_size(spark):
+    rows = [(i, "w " * (10 if i % 2 else 30), None, s, None, "c") for s in ("a", "b", "c") for i in range(800)]
+    taken = {10: 0, 30: 0}
+    for r in mixing.pareto_mix(frame(spark, rows)).where("source = 'a'").collect():
+        taken[r["size"]] += r.taken > 0
+    odds = lambda n: taken[n] / (400 - taken[n])
+    assert odds(30) / odds(10) == pytest.approx(3, rel=0.35)
+
+
 def test_targets_stop_at_three_times_the_source(spark):
     got = {r.source: r.target for r in mixing.targets(spark.createDataFrame([("a", 1000), ("b", 10), ("c", 400)], "source string, source_size bigint")).collect()}
     assert got["b"] == 30 and got["a"] == pytest.approx(1380 / 4) and got["c"] == pytest.approx(1380 * 3 / 4)
