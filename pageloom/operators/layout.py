@@ -83,6 +83,28 @@ def anchored_lines(elements: DataFrame) -> DataFrame:
     return elements.groupBy(*PAGE).agg(at.alias("at")).select(*PAGE, fold.alias("n_lines"))
 
 
+def sorted_elements(elements: DataFrame) -> DataFrame:
+    """Elements with line_no and rank: lines as in anchored_lines from the top, each from left to right.
+
+    The fold keeps line starts only; an element's line is the number of starts up to its place.
+    """
+    at = F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("down"), "x", "elem_seq", "y", "size", "text")))
+    same = "size(a.starts) > 0 and abs(e.y - a.y) <= 0.5D * a.s"
+    state = "named_struct('i', a.i + 1, 'y', if({0}, a.y, e.y), 's', if({0}, a.s, e.size), 'starts', if({0}, a.starts, concat(a.starts, array(a.i))))".format(same)
+    starts = F.expr(f"aggregate(at, named_struct('i', 0, 'y', 0D, 's', 0D, 'starts', cast(array() as array<int>)), (a, e) -> {state}, a -> a.starts)")
+    placed = elements.groupBy(*PAGE).agg(at.alias("at")).select(*PAGE, starts.alias("starts"), F.posexplode("at").alias("i", "e"))
+    placed = placed.select(*PAGE, F.col("e.elem_seq").alias("elem_seq"), F.col("e.text").alias("text"), F.col("e.x").alias("x"), F.col("e.y").alias("y"), F.col("e.size").alias("size"), F.expr("size(filter(starts, s -> s <= i))").alias("line_no"))
+    return placed.withColumn("rank", F.row_number().over(Window.partitionBy(*PAGE).orderBy("line_no", "x", "elem_seq")))
+
+
+def sorted_text(elements: DataFrame) -> DataFrame:
+    """The text of each page's sorted elements: a line feed where y moves by over half a size, else a space."""
+    w = Window.partitionBy(*PAGE).orderBy("rank")
+    far = F.abs(F.col("y") - F.lag("y").over(w)) > F.col("size") * 0.5
+    sep = F.when(F.col("rank") == 1, "").when(far, "\n").otherwise(" ")
+    return sorted_elements(elements).withColumn("piece", F.concat(sep, "text")).groupBy(*PAGE).agg(_joined(["rank"], "piece", "").alias("text"))
+
+
 def reading_order(blocks: DataFrame) -> DataFrame:
     """Blocks with rank: higher tops first, tops within 1.0 from left to right."""
     return banded(blocks.withColumn("top", F.col("y") + F.col("height")), ("page_id",), "top", 1.0, True, "x", "block_seq").drop("band", "top")
@@ -135,14 +157,56 @@ def split_pages(blocks: DataFrame, page_height: float = 842.0, spacing: float =
 
 
 def merge_across_pages(blocks: DataFrame) -> DataFrame:
-    """run for each block in document order: text of one font within 1.0 of the run's first size.
+    """run for each block in document order: text of one font, and colour if there is one, within 1.0 of the run's first size.
 
     Islands of font and kind come from a window; the size test is against the first block of a
     run, so it is a fold inside each island.
     """
     w = Window.partitionBy("doc_id").orderBy("page_num", "block_seq")
     new = (F.col("block_type") != F.lag("block_type").over(w)) | (F.col("font") != F.lag("font").over(w)) | (F.col("block_type") == "image")
+    if "color" in blocks.columns:
+        new = new | ~F.col("color").eqNullSafe(F.lag("color").over(w))
     b = blocks.withColumn("island", F.sum(F.coalesce(new.cast("int"), F.lit(1))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     at = F.array_sort(F.collect_list(F.struct("page_num", "block_seq", "font_size")))
     fold = F.expr("aggregate(at, cast(array() as array<struct<page_num:int,block_seq:int,run:int,base:double>>), (a, e) -> concat(a, array(if(size(a) > 0 and abs(e.font_size - element_at(a, -1).base) <= 1D, struct(e.page_num, e.block_seq, element_at(a, -1).run as run, element_at(a, -1).base as base), struct(e.page_num, e.block_seq, if(size(a) > 0, element_at(a, -1).run + 1, 1) as run, e.font_size as base)))))")
     return b.groupBy("doc_id", "island").agg(at.alias("at")).select("doc_id", "island", F.inline(fold)).drop("base")
+
+
+def merged_blocks(blocks: DataFrame) -> DataFrame:
+    """One block for each run of merge_across_pages: joined text, extended bounds; images as they are."""
+    b = blocks.join(merge_across_pages(blocks), ["doc_id", "page_num", "block_seq"])
+    first = F.struct("page_num", "block_seq")
+    return b.groupBy("doc_id", "island", "run").agg(
+        F.min(first)["page_num"].alias("page_num"), F.min(first)["block_seq"].alias("block_seq"), F.min_by("block_type", first).alias("block_type"), F.min_by("font", first).alias("font"), F.min_by("font_size", first).alias("font_size"),
+        F.min("x").alias("x"), F.min("y").alias("y"), (F.max(F.col("x") + F.col("width")) - F.min("x")).alias("width"), (F.max(F.col("y") + F.col("height")) - F.min("y")).alias("height"),
+        F.count("*").alias("n_blocks"), _joined(["page_num", "block_seq"], "text", "\n").alias("text"),
+    )
+
+
+def _changed(blocks: DataFrame, kind: str, index: int, **new: Column) -> DataFrame:
+    """blocks with new values in the block of a kind at a place, from 0, in its page's order."""
+    if kind not in ("text", "image"):
+        raise ValueError(f"unsupported block type: {kind}")
+    place = F.row_number().over(Window.partitionBy("page_id", "block_type").orderBy("block_seq")) - 1
+    b = blocks.withColumn("is_meant", (F.col("block_type") == kind) & (place == index))
+    return b.withColumns({n: F.when(F.col("is_meant"), c).otherwise(F.col(n)) for n, c in new.items()}).drop("is_meant")
+
+
+def move_block(blocks: DataFrame, kind: str, index: int, dx: float, dy: float) -> DataFrame:
+    """One block of each page moved; pages without a block at that place stay as they are."""
+    return _changed(blocks, kind, index, x=F.col("x") + dx, y=F.col("y") + dy)
+
+
+def resize_block(blocks: DataFrame, kind: str, index: int, width: float, height: float) -> DataFrame:
+    """One block of each page with a new size; pages without a block at that place stay as they are."""
+    return _changed(blocks, kind, index, width=F.lit(float(width)), height=F.lit(float(height)))
+
+
+def adjust_layout(blocks: DataFrame, strategy: str, **options: float) -> DataFrame:
+    """page_id, block_seq and new_y by the strategy of that name."""
+    if strategy == "preserve_position":
+        return blocks.select("page_id", "block_seq", F.col("y").alias("new_y"))
+    how = {"flow_down": flow_down, "compact": compact, "even_spacing": even_spacing}
+    if strategy not in how:
+        raise ValueError(f"unsupported layout strategy: {strategy}")
+    return how[strategy](blocks, **options).select("page_id", "block_seq", "new_y")

@@ -92,6 +92,43 @@ def _doc_blocks(spark, d):
     return blocks(spark, d).withColumn("doc_id", F.floor(F.col("page_id") / 10).cast("bigint")).withColumn("page_num", (F.col("page_id") % 10).cast("int"))
 
 
+def _text_doc_blocks(spark, d):
+    b = _doc_blocks(spark, d)
+    return b.withColumn("text", F.concat(F.lit("b"), F.col("block_seq").cast("string"))).withColumn("color", F.when(F.col("page_id") % 3 == 0, "red").otherwise("black"))
+
+
+def _adjusted(spark, d):
+    b = blocks(spark, d)
+    parts = [L.adjust_layout(b, n).withColumn("strategy", F.lit(n)) for n in ("flow_down", "compact", "even_spacing", "preserve_position")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def _keyed(spark, d):
+    """Maps from return flag to ordered line numbers: grouping, keys, values and a default."""
+    items = table(spark, d, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.array_join(F.array_sort(F.collect_list("l_linenumber")), ",").alias("group"))
+    m = items.groupBy("l_orderkey").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("l_returnflag", "group")))).alias("m"))
+    default = F.coalesce(F.try_element_at("m", F.lit("R")), F.lit("none"))
+    return m.select("l_orderkey", F.array_join(F.map_keys("m"), ";").alias("keys"), F.array_join(F.map_values("m"), ";").alias("groups"), default.alias("returned"))
+
+
+def _wrapped(spark, d):
+    lines = T.wrap("text", 200.0, 10.0)
+    return table(spark, d, "benchmark").where("text is not null").select("item_id", F.array_join(lines, "\n").alias("lines"), F.size(lines).alias("n_lines"), (F.size(lines) * F.lit(10.0 * 1.2)).alias("total_height"), T.normalize_space(F.concat("text", F.lit("\t x  y \n z "))).alias("normal"))
+
+
+def _encoded(spark, d):
+    names = table(spark, d, "supplier").select("s_suppkey", F.concat("s_name", F.lit(" (\\)")).alias("name"))
+    wide = V.encode_string(F.concat(F.lit("é"), F.lit("\U0001f600")))
+    return names.select("s_suppkey", V.encode_string(F.col("name")).alias("literal"), V.decode_string(V.encode_string(F.col("name"))).alias("back"), wide.alias("wide"), V.decode_string(wide).alias("wide_back"), V.ruby_text(F.col("name"), F.lit("r")).alias("ruby"))
+
+
+def _drawn(spark, d):
+    b = blocks(spark, d)
+    ink = V.rgb(F.col("x"), F.col("y"), F.col("height"))
+    word = T.permissions({"print": F.col("block_seq") % 2 == 0})
+    return b.select("page_id", "block_seq", V.circle(F.col("x"), F.col("y"), F.col("height")).alias("path"), ink["r"].alias("r"), ink["g"].alias("g"), ink["b"].alias("b"), T.has_permission(word, "print").alias("may_print"))
+
+
 def queries():
     return {
         "elements": elements,
@@ -117,14 +154,59 @@ def queries():
         "markdown_layout": lambda s, d: M.layout(M.nodes(table(s, d, "documents"))),
         "collections": _collections,
         "strings": _strings,
+        "sorted_elements": lambda s, d: L.sorted_elements(elements(s, d)).select(*L.PAGE, "elem_seq", "line_no", "rank"),
+        "sorted_text": lambda s, d: L.sorted_text(elements(s, d)),
+        "merged_blocks": lambda s, d: L.merged_blocks(_text_doc_blocks(s, d)),
+        "move_block": lambda s, d: L.move_block(blocks(s, d), "text", 1, 5.0, -3.0),
+        "resize_block": lambda s, d: L.resize_block(blocks(s, d), "image", 0, 64.0, 48.0),
+        "adjust_layout": _adjusted,
+        "keyed_collections": _keyed,
+        "wrapped_lines": _wrapped,
+        "encoded_strings": _encoded,
+        "drawn_values": _drawn,
         "permissions_and_pixels": _numbers_of_pages,
     }
 
 
+def _more_sql(sql):
+    """SQL of the queries that build on that of others."""
+    anchored = sql["anchored_lines"].split("SELECT doc_id, page_num, CAST(max(n)")[0].replace("s AS MATERIALIZED (SELECT doc_id,", "s AS MATERIALIZED (SELECT elem_seq, x, text, doc_id,")
+    ranked = anchored.rstrip() + """, z AS (SELECT s.doc_id, s.page_num, s.elem_seq, s.text, s.y, s.size, CAST(f.n AS INT) AS line_no, CAST(row_number() OVER (PARTITION BY s.doc_id, s.page_num ORDER BY f.n, s.x, s.elem_seq) AS INT) AS rank
+ FROM s JOIN f ON s.doc_id = f.doc_id AND s.page_num = f.page_num AND s.k = f.k)"""
+    merge = sql["merge_across_pages"].replace("CAST(page_id % 10 AS INT) AS page_num FROM blocks", "CAST(page_id % 10 AS INT) AS page_num, 'b' || CAST(block_seq AS VARCHAR) AS text, CASE WHEN page_id % 3 = 0 THEN 'red' ELSE 'black' END AS color FROM blocks")
+    merge = merge.replace("OR lag(font) OVER w IS NULL THEN 1", "OR lag(font) OVER w IS NULL OR color <> lag(color) OVER w THEN 1")
+    merge = merge.split("SELECT doc_id, island, page_num, block_seq, run FROM f")[0]
+    place = "block_type = '{}' AND row_number() OVER (PARTITION BY page_id, block_type ORDER BY block_seq) = {}"
+    moved, sized = place.format("text", 2), place.format("image", 1)
+    curves = [((0, 1), (1, 0)), ((-1, 0), (0, 1)), ((0, -1), (-1, 0)), ((1, 0), (0, -1))]
+    path = ["printf('%.2f %.2f m', x + height, y)"]
+    for end, start in curves:
+        spots = [f"x + height * {start[0]} + k * {end[0]}", f"y + height * {start[1]} + k * {end[1]}", f"x + height * {end[0]} + k * {start[0]}", f"y + height * {end[1]} + k * {start[1]}", f"x + height * {end[0]}", f"y + height * {end[1]}"]
+        path.append(f"printf('%.2f %.2f %.2f %.2f %.2f %.2f c', {', '.join(spots)})")
+    return {
+        "sorted_elements": f"{ranked} SELECT doc_id, page_num, elem_seq, line_no, rank FROM z",
+        "sorted_text": f"""{ranked}, v AS (SELECT *, CASE WHEN rank = 1 THEN '' WHEN abs(y - lag(y) OVER (PARTITION BY doc_id, page_num ORDER BY rank)) > size * 0.5 THEN chr(10) ELSE ' ' END || text AS piece FROM z)
+SELECT doc_id, page_num, string_agg(piece, '' ORDER BY rank) AS text FROM v GROUP BY ALL""",
+        "merged_blocks": f"""{merge} SELECT f.doc_id, f.island, f.run, arg_min(f.page_num, (f.page_num, f.block_seq)) AS page_num, arg_min(f.block_seq, (f.page_num, f.block_seq)) AS block_seq, arg_min(d.block_type, (f.page_num, f.block_seq)) AS block_type, arg_min(d.font, (f.page_num, f.block_seq)) AS font, arg_min(d.font_size, (f.page_num, f.block_seq)) AS font_size,
+ min(d.x) AS x, min(d.y) AS y, max(d.x + d.width) - min(d.x) AS width, max(d.y + d.height) - min(d.y) AS height, count(*) AS n_blocks, string_agg(d.text, chr(10) ORDER BY f.page_num, f.block_seq) AS text FROM f JOIN d ON d.doc_id = f.doc_id AND d.page_num = f.page_num AND d.block_seq = f.block_seq GROUP BY 1, 2, 3""",
+        "move_block": f"WITH {_BLOCKS}, m AS (SELECT *, {moved} AS hit FROM blocks) SELECT * EXCLUDE (hit) REPLACE (CASE WHEN hit THEN x + 5 ELSE x END AS x, CASE WHEN hit THEN y - 3 ELSE y END AS y) FROM m",
+        "resize_block": f"WITH {_BLOCKS}, m AS (SELECT *, {sized} AS hit FROM blocks) SELECT * EXCLUDE (hit) REPLACE (CASE WHEN hit THEN CAST(64 AS DOUBLE) ELSE width END AS width, CASE WHEN hit THEN CAST(48 AS DOUBLE) ELSE height END AS height) FROM m",
+        "adjust_layout": " UNION ALL ".join(f"SELECT page_id, block_seq, new_y, '{n}' AS strategy FROM ({sql[n]})" for n in ("flow_down", "compact", "even_spacing")) + f" UNION ALL SELECT page_id, block_seq, y AS new_y, 'preserve_position' AS strategy FROM (WITH {_BLOCKS} SELECT * FROM blocks)",
+        "keyed_collections": """WITH g AS (SELECT l_orderkey, l_returnflag, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber) AS grp FROM lineitem GROUP BY ALL)
+SELECT l_orderkey, string_agg(l_returnflag, ';' ORDER BY l_returnflag) AS keys, string_agg(grp, ';' ORDER BY l_returnflag) AS groups, coalesce(max(CASE WHEN l_returnflag = 'R' THEN grp END), 'none') AS returned FROM g GROUP BY 1""",
+        "wrapped_lines": r"""WITH p AS (SELECT item_id, text, i, list_filter(regexp_split_to_array(q, '\s+'), lambda w: w <> '') AS ws, q FROM (SELECT item_id, text, unnest(string_split(text, chr(10))) AS q, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM benchmark)),
+f AS (SELECT item_id, text, i, q, CASE WHEN len(ws) = 0 THEN '' ELSE list_reduce(ws, lambda a, w: CASE WHEN strlen(regexp_extract(a, '[^\n]*$') || ' ' || w) * (CAST(10 AS DOUBLE) * CAST(0.6 AS DOUBLE)) <= 200 THEN a || ' ' || w ELSE a || chr(10) || w END) END AS folded FROM p WHERE q = '' OR len(ws) > 0),
+l AS (SELECT item_id, any_value(text) AS text, string_agg(folded, chr(10) ORDER BY i) AS lines FROM f GROUP BY 1)
+SELECT item_id, lines, CAST(len(string_split(lines, chr(10))) AS INT) AS n_lines, len(string_split(lines, chr(10))) * CAST(12 AS DOUBLE) AS total_height, array_to_string(list_transform(string_split(text || chr(9) || ' x  y ' || chr(10) || ' z ', chr(10)), lambda t: trim(regexp_replace(t, '\s+', ' ', 'g'))), chr(10)) AS normal FROM l""",
+        "encoded_strings": r"""SELECT s_suppkey, '(' || s_name || ' \(\\\))' AS literal, s_name || ' (\)' AS back, '<FEFF00E9D83DDE00>' AS wide, 'é' || chr(128512) AS wide_back, s_name || ' (\)(r)' AS ruby FROM supplier""",
+        "drawn_values": f"WITH {_BLOCKS}, b AS (SELECT *, height * CAST({V.KAPPA!r} AS DOUBLE) AS k FROM blocks) SELECT page_id, block_seq, concat_ws(chr(10), {', '.join(path)}) AS path, x / CAST(255 AS DOUBLE) AS r, y / CAST(255 AS DOUBLE) AS g, height / CAST(255 AS DOUBLE) AS b, block_seq % 2 = 0 AS may_print FROM b",
+    }
+
+
 def oracle_sql():
     bits = " | ".join(f"(CASE WHEN block_seq % {i + 2} = 0 THEN {1 << b} ELSE 0 END)" for i, b in enumerate(T.PERMISSION_BITS.values()))
     fold = _ORDER.replace("blocks AS", "blocks AS", 1)
-    return {
+    sql = {
         "elements": f"WITH {_ELEMENTS} SELECT * FROM elements",
         "pdf_elements": f"WITH {_ELEMENTS} SELECT * REPLACE (CAST(elem_seq % 100 AS INT) AS elem_seq) FROM elements",
         "pdf_documents": f"WITH {_ELEMENTS} SELECT doc_id, CAST(max(page_num) + 1 AS INT) AS n_pages, 'pageloom' AS producer, false AS encrypted, CAST(NULL AS VARCHAR) AS error FROM elements GROUP BY doc_id",
@@ -164,3 +246,4 @@ SELECT l_orderkey, array_to_string(list_transform(v, lambda x: x * 2), ',') AS m
         "strings": r"""SELECT doc_id, md5(regexp_replace(text || chr(1) || ' ' || chr(9) || ' end ', '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')) AS clean, true AS has_control, md5(replace(replace(replace('(\' || text || ')', '\', '\\'), '(', '\('), ')', '\)')) AS escaped, md5(text) AS round_trip, strlen(text) * (CAST(12 AS DOUBLE) * CAST(0.6 AS DOUBLE)) AS width FROM documents""",
         "permissions_and_pixels": f"WITH {_BLOCKS} SELECT page_id, block_seq, -3904 | {bits} AS word, x * CAST(0.5 AS DOUBLE) AS px, 1000.0 - y * CAST(1 AS DOUBLE) - height * CAST(1 AS DOUBLE) AS py, width * CAST(0.5 AS DOUBLE) AS pw, height * CAST(1 AS DOUBLE) AS ph FROM blocks",
     }
+    return sql | _more_sql(sql)

@@ -92,3 +92,25 @@ def test_fit_of_all_documents(spark):
     texts = dict(spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect())
     got = dict(catalog.queries()["fitted_sizes"](spark, data).collect())
     assert got == {k: plain_fit(v, 400.0, 600.0) for k, v in texts.items()}
+
+
+def test_unknown_kinds_and_strategies_are_refused(spark):
+    from pageloom.operators import layout
+
+    blocks = spark.createDataFrame([(1, 1, "text", 0.0, 0.0, 5.0, 5.0)], "page_id bigint, block_seq int, block_type string, x double, y double, width double, height double")
+    with pytest.raises(ValueError):
+        layout.adjust_layout(blocks, "sideways")
+    with pytest.raises(ValueError):
+        layout.move_block(blocks, "table", 0, 1.0, 1.0)
+    assert layout.move_block(blocks, "text", 3, 1.0, 1.0).collect() == blocks.collect()
+
+
+def test_pages_whose_lines_differ_from_their_order(spark):
+    from pageloom.operators import layout
+
+    rows = [(1, 0, 0, "b", 50.0, 99.0, 10.0), (1, 0, 1, "a", 10.0, 100.0, 10.0), (1, 0, 2, "d", 90.0, 94.0, 10.0), (1, 0, 3, "c", 70.0, 95.0, 10.0), (2, 0, 0, "x", 0.0, 0.0, 0.0)]
+    e = spark.createDataFrame(rows, "doc_id bigint, page_num int, elem_seq int, text string, x double, y double, size double")
+    got = {(r.doc_id, r.elem_seq): (r.line_no, r["rank"]) for r in layout.sorted_elements(e).collect()}
+    assert got == {(1, 1): (1, 1), (1, 0): (1, 2), (1, 3): (1, 3), (1, 2): (2, 4), (2, 0): (1, 1)}
+    assert {r.doc_id: r.text for r in layout.sorted_text(e).collect()} == {1: "a b c d", 2: "x"}
+    assert layout.sorted_text(e.where("doc_id = 0")).count() == 0
