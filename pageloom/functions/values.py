@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pageloom.functions import fitting
 from pageloom.functions.text import escape
 
 #: Fixed value: ratio of control points that makes four Bezier curves a circle.
@@ -91,19 +92,5 @@ def circle(x: Column, y: Column, radius: Column) -> Column:
 
 
 def fit_size(text: str, width: float, height: float, least: float = 6.0, most: float = 24.0, spacing: float = 1.2, padding: float = 2.0, rounds: int = 20) -> Column:
-    """The largest font size found by bisection at which the SQL expression `text` fits into a box.
-
-    Lines break greedily at white space; a word counts 0.6 sizes a byte. Bisection starts at the
-    midpoint and stops below 0.1; null if no size tried fits or the padding leaves no box.
-    """
-    wide, high = width - 2 * padding, height - 2 * padding
-    if wide <= 0 or high <= 0:
-        return F.lit(None).cast("double")
-    unit = "(mid * 0.6D)"
-    # words become their byte sizes once; a size then costs a fold over numbers
-    count = f"aggregate(p, struct(0 as n, 0 as w), (b, s) -> if(b.n > 0 and (b.w + 1 + s) * {unit} <= {wide!r}D, struct(b.n as n, b.w + 1 + s as w), struct(b.n + 1 as n, s as w)), b -> b.n)"
-    total = f"aggregate(paras, 0, (t, q) -> t + if(q.blank, 1, aggregate(array(q.sizes), 0, (z, p) -> z + {count})))"
-    fits = f"({total}) * mid * {spacing!r}D <= {high!r}D"
-    paras = f"transform(split({text}, '\\n'), l -> struct(l = '' as blank, transform(filter(split(l, '(?U)\\\\s+'), w -> w <> ''), w -> octet_length(w)) as sizes))"
-    step = f"if(a.hi - a.lo <= 0.1D, a, aggregate(array((a.lo + a.hi) / 2), a, (u, mid) -> if({fits}, named_struct('lo', mid, 'hi', u.hi, 'best', mid), named_struct('lo', u.lo, 'hi', mid, 'best', u.best))))"
-    return F.expr(f"aggregate(array({paras}), cast(null as double), (o, paras) -> aggregate(sequence(1, {rounds}), named_struct('lo', {least!r}D, 'hi', {most!r}D, 'best', cast(null as double)), (a, i) -> {step}, a -> a.best))")
+    """The largest font size found by bisection at which the SQL expression `text` fits into a box; see fitting."""
+    return fitting.fitted_size(text, f"{float(width)!r}D", f"{float(height)!r}D", fitting.Fit(least, most, spacing, padding, grow=True, rounds=rounds))

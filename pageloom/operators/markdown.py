@@ -7,6 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pageloom.operators.scan import segmented_scan
+
 
 class Style(NamedTuple):
     """Sizes in points: headings from level 1 to 6, body text, spacing and margins."""
@@ -46,7 +48,7 @@ def nodes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def layout(nodes: DataFrame, key: str = "doc_id", style: Style = Style()) -> DataFrame:
-    """Each node's page, place and size, as a fold down the page.
+    """Each node's page, place and size, as a scan down the page.
 
     A heading needs its own height, a paragraph three lines; what doesn't fit above the bottom
     margin starts a page. A paragraph is one line, however long.
@@ -54,11 +56,14 @@ def layout(nodes: DataFrame, key: str = "doc_id", style: Style = Style()) -> Dat
     size = F.when(F.col("level") == 0, style.body).otherwise(F.element_at(F.array(*map(F.lit, style.headings)), F.greatest("level", F.lit(1))))
     gap, row = style.paragraph_spacing, style.body * style.line_spacing
     n = nodes.withColumn("size", size).withColumn("need", F.when(F.col("level") == 0, row * 3).otherwise(F.col("size") + gap)).withColumn("step", F.when(F.col("level") == 0, row + gap).otherwise(F.col("size") + gap))
-    top = f"{style.page_height - style.margin!r}D"
-    full = f"a.y - b.need < {style.margin!r}D"
-    page, y = f"if({full}, a.page + 1, a.page)", f"if({full}, {top}, a.y)"
-    kind = "array<struct<node_seq:int,page_num:int,y:double>>"
-    fold = f"aggregate(at, named_struct('page', 0, 'y', {top}, 'out', cast(array() as {kind})), (a, b) -> named_struct('page', {page}, 'y', {y} - b.step, 'out', concat(a.out, array(struct(b.node_seq as node_seq, {page} as page_num, {y} as y)))), a -> a.out)"
-    places = n.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("node_seq", "need", "step"))).alias("at")).select(key, F.inline(F.expr(fold)))
+    top = style.page_height - style.margin
+
+    def step(at, need, taken):
+        page, y = at or (0, top)
+        if y - need < style.margin:
+            page, y = page + 1, top
+        return (page, y - taken), (page, y)
+
+    placed = segmented_scan(n, [key], ["node_seq"], ["need", "step"], step, "page_num int, y double")
     font = F.when(F.col("level") == 0, "Helvetica").otherwise("Helvetica-Bold")
-    return n.join(places, [key, "node_seq"]).select(key, "page_num", F.col("node_seq").alias("elem_seq"), "text", F.lit(style.margin).alias("x"), "y", "size", font.alias("font"))
+    return placed.select(key, "page_num", F.col("node_seq").alias("elem_seq"), "text", F.lit(style.margin).alias("x"), "y", "size", font.alias("font"))

@@ -8,40 +8,13 @@ from pageloom.functions import text as T
 from pageloom.functions import values as V
 from pageloom.operators import layout as L
 from pageloom.operators import markdown as M
+from pageloom.plans import contents
+from pageloom.plans.tables import BLOCKS, ELEMENTS, LINES, ORDER, TEXT_BLOCK, text_block_ctes
 from pageloom.sources import pdf, pdfsink
 from pageloom.sources.derived import blocks, elements, images, table
 
 FLAGSHIP = "text_blocks"
 
-_ELEMENTS = """words AS (SELECT doc_id, unnest(l) AS text, generate_subscripts(l, 1) - 1 AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda w: w <> '') AS l FROM documents)),
-g AS (SELECT doc_id, text, CAST(i AS INT) AS elem_seq, CAST(FLOOR(i / 100) AS INT) AS page_num, CAST(i % 5 AS INT) AS col, CAST(FLOOR((i % 100) / 5) AS INT) AS row_no FROM words),
-elements AS (SELECT doc_id, page_num, elem_seq, text, CAST(50 + col * 80 + (doc_id % 7) * 5 + CASE WHEN row_no = 4 THEN 60 ELSE 0 END AS DOUBLE) AS x,
- CAST(800 - row_no * 16 - CASE WHEN row_no >= 10 THEN 12 ELSE 0 END - CASE WHEN row_no >= 15 THEN 40 ELSE 0 END AS DOUBLE) - CASE WHEN doc_id % 4 = 0 THEN col * CAST(1.75 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END + ((elem_seq * 7 + doc_id) % 3) * CAST(0.5 AS DOUBLE) AS y,
- strlen(text) * (CAST(10 + 2 * (doc_id % 2) AS DOUBLE) * CAST(0.6 AS DOUBLE)) AS width, CAST(10 + 2 * (doc_id % 2) AS DOUBLE) AS height, CAST(10 + 2 * (doc_id % 2) AS DOUBLE) AS size, CONCAT('F', CAST(1 + doc_id % 2 AS VARCHAR)) AS font FROM g)"""
-_BLOCKS = """blocks AS (SELECT l_orderkey AS page_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS INT) AS block_seq,
- CASE WHEN l_returnflag = 'R' THEN 'image' ELSE 'text' END AS block_type, CAST(40 + (l_partkey % 5) * 90 AS DOUBLE) AS x, CAST(60 + (l_suppkey * 37 + l_partkey * 11) % 600 AS DOUBLE) AS y, CAST(100 + (l_partkey % 4) * 30 AS DOUBLE) AS width,
- CAST(12 + l_linenumber * 6 AS DOUBLE) AS height, CONCAT('F', CAST(1 + l_suppkey % 2 AS VARCHAR)) AS font, CAST(10 + (l_linenumber % 3) AS DOUBLE) AS font_size FROM lineitem)"""
-_ORDER = _BLOCKS + """, t AS (SELECT *, y + height AS top FROM blocks), b1 AS (SELECT *, lag(top) OVER (PARTITION BY page_id ORDER BY top DESC, x, block_seq) - top AS fall FROM t),
-b2 AS (SELECT *, sum(CASE WHEN fall > 1.0 THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY top DESC, x, block_seq ROWS UNBOUNDED PRECEDING) AS band FROM b1),
-o AS (SELECT page_id, block_seq, block_type, x, y, width, height, font, font_size, CAST(row_number() OVER (PARTITION BY page_id ORDER BY band, x, block_seq) AS INT) AS rank FROM b2)"""
-_LINES = _ELEMENTS + """, e1 AS (SELECT *, lag(y) OVER (PARTITION BY doc_id, page_num ORDER BY y DESC, x, elem_seq) - y AS fall FROM elements),
-e2 AS (SELECT *, sum(CASE WHEN fall >= 1.0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_num ORDER BY y DESC, x, elem_seq ROWS UNBOUNDED PRECEDING) AS band FROM e1),
-e3 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY band, x, elem_seq) AS rank FROM e2),
-e4 AS (SELECT *, CASE WHEN abs(y - lag(y) OVER w) >= 0.5 * ((size + lag(size) OVER w) / 2) THEN 1 ELSE 0 END AS brk FROM e3 WINDOW w AS (PARTITION BY doc_id, page_num ORDER BY rank)),
-e5 AS (SELECT *, CAST(sum(brk) OVER (PARTITION BY doc_id, page_num ORDER BY rank ROWS UNBOUNDED PRECEDING) + 1 AS BIGINT) AS line_no FROM e4),
-e6 AS (SELECT *, CASE WHEN x - (lag(x) OVER w + lag(width) OVER w) > CAST(0.35 AS DOUBLE) * lag(size) OVER w THEN ' ' ELSE '' END || text AS piece FROM e5 WINDOW w AS (PARTITION BY doc_id, page_num, line_no ORDER BY rank)),
-lines AS (SELECT doc_id, page_num, line_no, min(x) AS min_x, max(x + width) AS max_x, min(y) AS min_y, max(y + height) AS max_y, avg(size) AS avg_size, sum(size) AS sum_size, count(*) AS n, arg_min(font, rank) AS font, string_agg(piece, '' ORDER BY rank) AS text FROM e6 GROUP BY ALL)"""
-
-
-def _block_sql(images: bool) -> str:
-    cut = "exists(SELECT 1 FROM img i WHERE i.doc_id = l1.doc_id AND i.page_num = l1.page_num AND up > max_y AND 620.0 <= up AND max_y <= 640.0)" if images else "false"
-    return f"""WITH {_LINES}, img AS (SELECT DISTINCT doc_id, page_num FROM elements WHERE doc_id % 3 = 0),
-l1 AS (SELECT *, lag(min_y) OVER w AS up, lag(min_x) OVER w AS up_x, lag(avg_size) OVER w AS up_size FROM lines WINDOW w AS (PARTITION BY doc_id, page_num ORDER BY line_no)),
-l2 AS (SELECT *, CASE WHEN up IS NOT NULL AND NOT (up - max_y <= 1.5 * ((up_size + avg_size) / 2) AND abs(up_x - min_x) <= 50 AND NOT {cut}) THEN 1 ELSE 0 END AS brk FROM l1),
-l3 AS (SELECT *, CAST(sum(brk) OVER (PARTITION BY doc_id, page_num ORDER BY line_no ROWS UNBOUNDED PRECEDING) + 1 AS BIGINT) AS block_seq FROM l2)
-SELECT doc_id, page_num, block_seq, min(min_x) AS x, min(min_y) AS y, max(max_x) - min(min_x) AS width, max(max_y) - min(min_y) AS height, sum(sum_size) / sum(n) AS font_size, arg_min(font, line_no) AS font, count(*) AS n_lines, string_agg(text, chr(10) ORDER BY line_no) AS text FROM l3 GROUP BY ALL"""
-
-
 def _numbers(spark, d):
     """Ordered quantities of each order: the rows that the collection operators work on."""
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))), lambda r: r["l_quantity"].cast("int")).alias("v"))
@@ -150,7 +123,6 @@ def queries():
         "dates": _dates,
         "geometry": _geometry,
         "sealed_files": _sealed,
-        "fitted_sizes": lambda s, d: table(s, d, "documents").select("doc_id", V.fit_size("text", 400.0, 600.0).alias("size")),
         "markdown_layout": lambda s, d: M.layout(M.nodes(table(s, d, "documents"))),
         "collections": _collections,
         "strings": _strings,
@@ -165,7 +137,7 @@ def queries():
         "encoded_strings": _encoded,
         "drawn_values": _drawn,
         "permissions_and_pixels": _numbers_of_pages,
-    }
+    } | contents.queries()
 
 
 def _more_sql(sql):
@@ -189,9 +161,9 @@ def _more_sql(sql):
 SELECT doc_id, page_num, string_agg(piece, '' ORDER BY rank) AS text FROM v GROUP BY ALL""",
         "merged_blocks": f"""{merge} SELECT f.doc_id, f.island, f.run, arg_min(f.page_num, (f.page_num, f.block_seq)) AS page_num, arg_min(f.block_seq, (f.page_num, f.block_seq)) AS block_seq, arg_min(d.block_type, (f.page_num, f.block_seq)) AS block_type, arg_min(d.font, (f.page_num, f.block_seq)) AS font, arg_min(d.font_size, (f.page_num, f.block_seq)) AS font_size,
  min(d.x) AS x, min(d.y) AS y, max(d.x + d.width) - min(d.x) AS width, max(d.y + d.height) - min(d.y) AS height, count(*) AS n_blocks, string_agg(d.text, chr(10) ORDER BY f.page_num, f.block_seq) AS text FROM f JOIN d ON d.doc_id = f.doc_id AND d.page_num = f.page_num AND d.block_seq = f.block_seq GROUP BY 1, 2, 3""",
-        "move_block": f"WITH {_BLOCKS}, m AS (SELECT *, {moved} AS hit FROM blocks) SELECT * EXCLUDE (hit) REPLACE (CASE WHEN hit THEN x + 5 ELSE x END AS x, CASE WHEN hit THEN y - 3 ELSE y END AS y) FROM m",
-        "resize_block": f"WITH {_BLOCKS}, m AS (SELECT *, {sized} AS hit FROM blocks) SELECT * EXCLUDE (hit) REPLACE (CASE WHEN hit THEN CAST(64 AS DOUBLE) ELSE width END AS width, CASE WHEN hit THEN CAST(48 AS DOUBLE) ELSE height END AS height) FROM m",
-        "adjust_layout": " UNION ALL ".join(f"SELECT page_id, block_seq, new_y, '{n}' AS strategy FROM ({sql[n]})" for n in ("flow_down", "compact", "even_spacing")) + f" UNION ALL SELECT page_id, block_seq, y AS new_y, 'preserve_position' AS strategy FROM (WITH {_BLOCKS} SELECT * FROM blocks)",
+        "move_block": f"WITH {BLOCKS}, m AS (SELECT *, {moved} AS hit FROM blocks) SELECT * EXCLUDE (hit) REPLACE (CASE WHEN hit THEN x + 5 ELSE x END AS x, CASE WHEN hit THEN y - 3 ELSE y END AS y) FROM m",
+        "resize_block": f"WITH {BLOCKS}, m AS (SELECT *, {sized} AS hit FROM blocks) SELECT * EXCLUDE (hit) REPLACE (CASE WHEN hit THEN CAST(64 AS DOUBLE) ELSE width END AS width, CASE WHEN hit THEN CAST(48 AS DOUBLE) ELSE height END AS height) FROM m",
+        "adjust_layout": " UNION ALL ".join(f"SELECT page_id, block_seq, new_y, '{n}' AS strategy FROM ({sql[n]})" for n in ("flow_down", "compact", "even_spacing")) + f" UNION ALL SELECT page_id, block_seq, y AS new_y, 'preserve_position' AS strategy FROM (WITH {BLOCKS} SELECT * FROM blocks)",
         "keyed_collections": """WITH g AS (SELECT l_orderkey, l_returnflag, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber) AS grp FROM lineitem GROUP BY ALL)
 SELECT l_orderkey, string_agg(l_returnflag, ';' ORDER BY l_returnflag) AS keys, string_agg(grp, ';' ORDER BY l_returnflag) AS groups, coalesce(max(CASE WHEN l_returnflag = 'R' THEN grp END), 'none') AS returned FROM g GROUP BY 1""",
         "wrapped_lines": r"""WITH p AS (SELECT item_id, text, i, list_filter(regexp_split_to_array(q, '\s+'), lambda w: w <> '') AS ws, q FROM (SELECT item_id, text, unnest(string_split(text, chr(10))) AS q, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM benchmark)),
@@ -199,36 +171,36 @@ f AS (SELECT item_id, text, i, q, CASE WHEN len(ws) = 0 THEN '' ELSE list_reduce
 l AS (SELECT item_id, any_value(text) AS text, string_agg(folded, chr(10) ORDER BY i) AS lines FROM f GROUP BY 1)
 SELECT item_id, lines, CAST(len(string_split(lines, chr(10))) AS INT) AS n_lines, len(string_split(lines, chr(10))) * CAST(12 AS DOUBLE) AS total_height, array_to_string(list_transform(string_split(text || chr(9) || ' x  y ' || chr(10) || ' z ', chr(10)), lambda t: trim(regexp_replace(t, '\s+', ' ', 'g'))), chr(10)) AS normal FROM l""",
         "encoded_strings": r"""SELECT s_suppkey, '(' || s_name || ' \(\\\))' AS literal, s_name || ' (\)' AS back, '<FEFF00E9D83DDE00>' AS wide, 'é' || chr(128512) AS wide_back, s_name || ' (\)(r)' AS ruby FROM supplier""",
-        "drawn_values": f"WITH {_BLOCKS}, b AS (SELECT *, height * CAST({V.KAPPA!r} AS DOUBLE) AS k FROM blocks) SELECT page_id, block_seq, concat_ws(chr(10), {', '.join(path)}) AS path, x / CAST(255 AS DOUBLE) AS r, y / CAST(255 AS DOUBLE) AS g, height / CAST(255 AS DOUBLE) AS b, block_seq % 2 = 0 AS may_print FROM b",
+        "drawn_values": f"WITH {BLOCKS}, b AS (SELECT *, height * CAST({V.KAPPA!r} AS DOUBLE) AS k FROM blocks) SELECT page_id, block_seq, concat_ws(chr(10), {', '.join(path)}) AS path, x / CAST(255 AS DOUBLE) AS r, y / CAST(255 AS DOUBLE) AS g, height / CAST(255 AS DOUBLE) AS b, block_seq % 2 = 0 AS may_print FROM b",
     }
 
 
 def oracle_sql():
     bits = " | ".join(f"(CASE WHEN block_seq % {i + 2} = 0 THEN {1 << b} ELSE 0 END)" for i, b in enumerate(T.PERMISSION_BITS.values()))
-    fold = _ORDER.replace("blocks AS", "blocks AS", 1)
+    fold = ORDER.replace("blocks AS", "blocks AS", 1)
     sql = {
-        "elements": f"WITH {_ELEMENTS} SELECT * FROM elements",
-        "pdf_elements": f"WITH {_ELEMENTS} SELECT * REPLACE (CAST(elem_seq % 100 AS INT) AS elem_seq) FROM elements",
-        "pdf_documents": f"WITH {_ELEMENTS} SELECT doc_id, CAST(max(page_num) + 1 AS INT) AS n_pages, 'pageloom' AS producer, false AS encrypted, CAST(NULL AS VARCHAR) AS error FROM elements GROUP BY doc_id",
-        "chained_lines": f"WITH {_LINES} SELECT * EXCLUDE (sum_size) FROM lines",
-        "text_blocks": _block_sql(True),
-        "text_blocks_without_images": _block_sql(False),
-        "anchored_lines": f"""WITH RECURSIVE {_ELEMENTS}, s AS MATERIALIZED (SELECT doc_id, page_num, y, size, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY y DESC, x, elem_seq) AS k FROM elements),
+        "elements": f"WITH {ELEMENTS} SELECT * FROM elements",
+        "pdf_elements": f"WITH {ELEMENTS} SELECT * REPLACE (CAST(elem_seq % 100 AS INT) AS elem_seq) FROM elements",
+        "pdf_documents": f"WITH {ELEMENTS} SELECT doc_id, CAST(max(page_num) + 1 AS INT) AS n_pages, 'pageloom' AS producer, false AS encrypted, CAST(NULL AS VARCHAR) AS error FROM elements GROUP BY doc_id",
+        "chained_lines": f"WITH {LINES} SELECT * EXCLUDE (sum_size) FROM lines",
+        "text_blocks": f"WITH {text_block_ctes(True)} {TEXT_BLOCK}",
+        "text_blocks_without_images": f"WITH {text_block_ctes(False)} {TEXT_BLOCK}",
+        "anchored_lines": f"""WITH RECURSIVE {ELEMENTS}, s AS MATERIALIZED (SELECT doc_id, page_num, y, size, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY y DESC, x, elem_seq) AS k FROM elements),
 f AS (SELECT doc_id, page_num, k, 1 AS n, y, size FROM s WHERE k = 1 UNION ALL SELECT s.doc_id, s.page_num, s.k, CASE WHEN abs(s.y - f.y) <= 0.5 * f.size THEN f.n ELSE f.n + 1 END, CASE WHEN abs(s.y - f.y) <= 0.5 * f.size THEN f.y ELSE s.y END, CASE WHEN abs(s.y - f.y) <= 0.5 * f.size THEN f.size ELSE s.size END FROM f JOIN s ON s.doc_id = f.doc_id AND s.page_num = f.page_num AND s.k = f.k + 1)
 SELECT doc_id, page_num, CAST(max(n) AS INT) AS n_lines FROM f GROUP BY ALL""",
-        "page_text": f"WITH {_ELEMENTS} SELECT doc_id, page_num, string_agg(text, ' ' ORDER BY elem_seq) AS text FROM elements GROUP BY ALL",
-        "document_text": f"WITH {_ELEMENTS}, p AS (SELECT doc_id, page_num, string_agg(text, ' ' ORDER BY elem_seq) AS text FROM elements GROUP BY ALL) SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY page_num) AS text FROM p GROUP BY ALL",
-        "reading_order": f"WITH {_ORDER} SELECT * FROM o",
-        "overlaps": f"""WITH {_ORDER}, p AS (SELECT a.page_id, a.block_seq AS left_block, b.block_seq AS right_block, least(a.x + a.width, b.x + b.width) - greatest(a.x, b.x) AS w, least(a.y + a.height, b.y + b.height) - greatest(a.y, b.y) AS h FROM o a JOIN o b ON a.page_id = b.page_id AND a.rank < b.rank)
+        "page_text": f"WITH {ELEMENTS} SELECT doc_id, page_num, string_agg(text, ' ' ORDER BY elem_seq) AS text FROM elements GROUP BY ALL",
+        "document_text": f"WITH {ELEMENTS}, p AS (SELECT doc_id, page_num, string_agg(text, ' ' ORDER BY elem_seq) AS text FROM elements GROUP BY ALL) SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY page_num) AS text FROM p GROUP BY ALL",
+        "reading_order": f"WITH {ORDER} SELECT * FROM o",
+        "overlaps": f"""WITH {ORDER}, p AS (SELECT a.page_id, a.block_seq AS left_block, b.block_seq AS right_block, least(a.x + a.width, b.x + b.width) - greatest(a.x, b.x) AS w, least(a.y + a.height, b.y + b.height) - greatest(a.y, b.y) AS h FROM o a JOIN o b ON a.page_id = b.page_id AND a.rank < b.rank)
 SELECT page_id, left_block, right_block, w * h AS area FROM p WHERE w > 0 AND h > 0""",
-        "compact": f"WITH {_ORDER} SELECT page_id, block_seq, rank, 822.0 - sum(height) OVER (PARTITION BY page_id ORDER BY rank ROWS UNBOUNDED PRECEDING) - (rank - 1) * CAST(10 AS DOUBLE) AS new_y FROM o",
-        "even_spacing": f"""WITH {_ORDER}, q AS (SELECT *, 802.0 - sum(height) OVER (PARTITION BY page_id) AS free, count(*) OVER (PARTITION BY page_id) AS n FROM o)
+        "compact": f"WITH {ORDER} SELECT page_id, block_seq, rank, 822.0 - sum(height) OVER (PARTITION BY page_id ORDER BY rank ROWS UNBOUNDED PRECEDING) - (rank - 1) * CAST(10 AS DOUBLE) AS new_y FROM o",
+        "even_spacing": f"""WITH {ORDER}, q AS (SELECT *, 802.0 - sum(height) OVER (PARTITION BY page_id) AS free, count(*) OVER (PARTITION BY page_id) AS n FROM o)
 SELECT page_id, block_seq, rank, 822.0 - sum(height) OVER (PARTITION BY page_id ORDER BY rank ROWS UNBOUNDED PRECEDING) - (rank - 1) * (CASE WHEN free < 0 THEN CAST(10 AS DOUBLE) ELSE greatest(free / greatest(n - 1, 1), CAST(10 AS DOUBLE)) END) AS new_y FROM q""",
         "flow_down": f"""WITH RECURSIVE {fold}, o2 AS MATERIALIZED (SELECT page_id, block_seq, rank, y, height FROM o), f AS (SELECT page_id, block_seq, rank, y AS new_y FROM o2 WHERE rank = 1 UNION ALL
 SELECT o2.page_id, o2.block_seq, o2.rank, CASE WHEN o2.y + o2.height > f.new_y - 10.0 THEN f.new_y - 10.0 - o2.height ELSE o2.y END FROM f JOIN o2 ON o2.page_id = f.page_id AND o2.rank = f.rank + 1) SELECT page_id, block_seq, rank, new_y FROM f""",
         "split_pages": f"""WITH RECURSIVE {fold}, o2 AS MATERIALIZED (SELECT page_id, block_seq, rank, height FROM o), f AS (SELECT page_id, block_seq, rank, 0 AS out_page, CAST(822.0 AS DOUBLE) - height AS new_y FROM o2 WHERE rank = 1 UNION ALL
 SELECT o2.page_id, o2.block_seq, o2.rank, CASE WHEN f.new_y - 10.0 - o2.height < 20.0 THEN f.out_page + 1 ELSE f.out_page END, CASE WHEN f.new_y - 10.0 - o2.height < 20.0 THEN CAST(822.0 AS DOUBLE) ELSE f.new_y - 10.0 END - o2.height FROM f JOIN o2 ON o2.page_id = f.page_id AND o2.rank = f.rank + 1) SELECT page_id, block_seq, out_page, new_y FROM f""",
-        "merge_across_pages": f"""WITH RECURSIVE {_BLOCKS}, d AS (SELECT *, CAST(page_id // 10 AS BIGINT) AS doc_id, CAST(page_id % 10 AS INT) AS page_num FROM blocks),
+        "merge_across_pages": f"""WITH RECURSIVE {BLOCKS}, d AS (SELECT *, CAST(page_id // 10 AS BIGINT) AS doc_id, CAST(page_id % 10 AS INT) AS page_num FROM blocks),
 c AS (SELECT *, CASE WHEN block_type = 'image' OR block_type <> lag(block_type) OVER w OR font <> lag(font) OVER w OR lag(font) OVER w IS NULL THEN 1 ELSE 0 END AS brk FROM d WINDOW w AS (PARTITION BY doc_id ORDER BY page_num, block_seq)),
 i AS (SELECT *, CAST(sum(brk) OVER (PARTITION BY doc_id ORDER BY page_num, block_seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM c),
 k AS MATERIALIZED (SELECT doc_id, island, page_num, block_seq, font_size, row_number() OVER (PARTITION BY doc_id, island ORDER BY page_num, block_seq) AS k FROM i),
@@ -237,13 +209,13 @@ SELECT doc_id, island, page_num, block_seq, run FROM f""",
         "dates": """WITH o AS (SELECT o_orderkey, o_orderdate, CAST((o_orderkey % 25 - 12) * 60 + o_orderkey % 2 * 30 AS INT) AS offset_minutes FROM orders)
 SELECT o_orderkey, 'D:' || strftime(o_orderdate, '%Y%m%d%H%M%S') || CASE WHEN offset_minutes < 0 THEN '-' ELSE '+' END || lpad(CAST(abs(offset_minutes) // 60 AS VARCHAR), 2, '0') || chr(39) || lpad(CAST(abs(offset_minutes) % 60 AS VARCHAR), 2, '0') || chr(39) AS formatted,
  strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS parsed, offset_minutes FROM o""",
-        "geometry": f"""WITH {_BLOCKS} SELECT page_id, block_seq, CASE WHEN y / 842.0::DOUBLE > 0.66::DOUBLE THEN 'top' WHEN y / 842.0::DOUBLE > 0.33::DOUBLE THEN 'middle' ELSE 'bottom' END AS third, x + (width - height) / 2 AS ruby_x, y + font_size + 2 AS ruby_y, greatest(width, height) AS advance,
+        "geometry": f"""WITH {BLOCKS} SELECT page_id, block_seq, CASE WHEN y / 842.0::DOUBLE > 0.66::DOUBLE THEN 'top' WHEN y / 842.0::DOUBLE > 0.33::DOUBLE THEN 'middle' ELSE 'bottom' END AS third, x + (width - height) / 2 AS ruby_x, y + font_size + 2 AS ruby_y, greatest(width, height) AS advance,
  CAST(floor(255.0::DOUBLE * (1 - x / 1024) * (1 - height / 1024)) AS INT) AS r, CAST(floor(255.0::DOUBLE * (1 - y / 1024) * (1 - height / 1024)) AS INT) AS g, CAST(floor(255.0::DOUBLE * (1 - width / 1024) * (1 - height / 1024)) AS INT) AS b FROM blocks""",
         "sealed_files": "SELECT s_suppkey AS doc_id, s_name AS text, CAST(50 AS DOUBLE) AS x, CAST(700 AS DOUBLE) AS y FROM supplier",
         "collections": """WITH n AS (SELECT l_orderkey, list(CAST(l_quantity AS INT) ORDER BY l_linenumber, l_partkey, l_quantity) AS v FROM lineitem GROUP BY 1)
 SELECT l_orderkey, array_to_string(list_transform(v, lambda x: x * 2), ',') AS mapped, array_to_string(list_filter(v, lambda x: x % 2 = 0), ',') AS kept, array_to_string(list_filter(v, lambda x: x % 2 <> 0), ',') AS others, CAST(list_sum(v) AS INT) AS reduced,
  array_to_string(list_transform(list_filter(list_transform(range(1, len(v) + 1), lambda i: CASE WHEN list_position(v, v[i]) = i THEN v[i] END), lambda x: x IS NOT NULL), lambda x: x), ',') AS "unique", len(list_filter(v, lambda x: x > 45)) > 0 AS any_over_45, len(list_filter(v, lambda x: NOT x > 5)) = 0 AS all_over_5, list_filter(v, lambda x: x > 30)[1] AS found, array_to_string(flatten(list_transform(v, lambda x: [x, x + 1])), ',') AS flat FROM n""",
         "strings": r"""SELECT doc_id, md5(regexp_replace(text || chr(1) || ' ' || chr(9) || ' end ', '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')) AS clean, true AS has_control, md5(replace(replace(replace('(\' || text || ')', '\', '\\'), '(', '\('), ')', '\)')) AS escaped, md5(text) AS round_trip, strlen(text) * (CAST(12 AS DOUBLE) * CAST(0.6 AS DOUBLE)) AS width FROM documents""",
-        "permissions_and_pixels": f"WITH {_BLOCKS} SELECT page_id, block_seq, -3904 | {bits} AS word, x * CAST(0.5 AS DOUBLE) AS px, 1000.0 - y * CAST(1 AS DOUBLE) - height * CAST(1 AS DOUBLE) AS py, width * CAST(0.5 AS DOUBLE) AS pw, height * CAST(1 AS DOUBLE) AS ph FROM blocks",
+        "permissions_and_pixels": f"WITH {BLOCKS} SELECT page_id, block_seq, -3904 | {bits} AS word, x * CAST(0.5 AS DOUBLE) AS px, 1000.0 - y * CAST(1 AS DOUBLE) - height * CAST(1 AS DOUBLE) AS py, width * CAST(0.5 AS DOUBLE) AS pw, height * CAST(1 AS DOUBLE) AS ph FROM blocks",
     }
-    return sql | _more_sql(sql)
+    return sql | _more_sql(sql) | contents.oracle_sql()

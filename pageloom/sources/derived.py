@@ -34,3 +34,20 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         "case when l_returnflag = 'R' then 'image' else 'text' end as block_type", "cast(40 + (l_partkey % 5) * 90 as double) as x", "cast(60 + (l_suppkey * 37 + l_partkey * 11) % 600 as double) as y",
         "cast(100 + (l_partkey % 4) * 30 as double) as width", "cast(12 + l_linenumber * 6 as double) as height", "concat('F', cast(1 + l_suppkey % 2 as string)) as font", "cast(10 + (l_linenumber % 3) as double) as font_size",
     )
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4 pages of the documents; every fifth document's pages turn y upside down."""
+    seen = elements(spark, sf_dir).select("doc_id", "page_num").distinct()
+    turned = F.expr("named_struct('a', 1D, 'b', 0D, 'c', 0D, 'd', -1D, 'e', 0D, 'f', 842D)")
+    return seen.select("doc_id", "page_num", F.lit(595.0).alias("width"), F.lit(842.0).alias("height"), F.when(F.col("doc_id") % 5 == 0, turned).alias("page_ctm"))
+
+
+def placed_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One image on each page of every third document, where images() has it."""
+    seen = images(spark, sf_dir)
+    return seen.select(
+        "doc_id", "page_num", F.lit(1).alias("image_seq"), F.lit("Im1").alias("name"), (F.col("page_num") % 3 * 40 + 60).cast("double").alias("x"), "y", F.lit(180.0).alias("placed_width"), "placed_height",
+        (F.col("doc_id") % 50 + 100).cast("int").alias("pixel_width"), F.lit(40).alias("pixel_height"), F.when(F.col("page_num") % 2 == 0, "jpeg").otherwise("png").alias("format"),
+        F.expr("named_struct('a', 180D, 'b', 0D, 'c', 0D, 'd', 20D, 'e', cast(page_num % 3 * 40 + 60 as double), 'f', 620D)").alias("transform"),
+    )

@@ -35,4 +35,4 @@ def test_same_rows_as_sql(spark, duck, name):
 
 
 def test_queries_without_sql_are_tested_elsewhere():
-    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"fitted_sizes", "markdown_layout"}
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"markdown_layout"}
