@@ -63,3 +63,22 @@ def pixel_rect(x: Column, y: Column, w: Column, h: Column, image: tuple[float, f
     """x, y, width, height in points, origin at the bottom left, of a pixel box from the top left."""
     sx, sy = page[0] / image[0], page[1] / image[1]
     return [x * F.lit(sx), F.lit(float(page[1])) - y * F.lit(sy) - h * F.lit(sy), w * F.lit(sx), h * F.lit(sy)]
+
+
+#: Permissions by name: which flags a preset sets.
+PRESETS = {"default": tuple(PERMISSION_BITS), "restricted": (), "print_only": ("print", "print_high")}
+
+
+def preset(name: str) -> int:
+    """The permission word of a preset."""
+    return PERMISSION_BASE | sum(1 << PERMISSION_BITS[n] for n in PRESETS[name])
+
+
+def permission_flags(word: Column) -> Column:
+    """Struct of a boolean for each name in PERMISSION_BITS."""
+    return F.struct(*[has_permission(word, n).alias(n) for n in PERMISSION_BITS])
+
+
+def unprintable(text: Column) -> Column:
+    """How many characters are none of letters, marks, numbers, punctuation, symbols, spaces, tabs and line ends."""
+    return F.regexp_count(text, F.lit(r"[^\p{L}\p{M}\p{N}\p{P}\p{S} \t\n\r]"))

@@ -8,7 +8,7 @@ from pageloom.functions import text as T
 from pageloom.functions import values as V
 from pageloom.operators import layout as L
 from pageloom.operators import markdown as M
-from pageloom.plans import contents
+from pageloom.plans import contents, marks
 from pageloom.plans.tables import BLOCKS, ELEMENTS, LINES, ORDER, TEXT_BLOCK, text_block_ctes
 from pageloom.sources import pdf, pdfsink
 from pageloom.sources.derived import blocks, elements, images, table
@@ -137,7 +137,7 @@ def queries():
         "encoded_strings": _encoded,
         "drawn_values": _drawn,
         "permissions_and_pixels": _numbers_of_pages,
-    } | contents.queries()
+    } | contents.queries() | marks.queries()
 
 
 def _more_sql(sql):
@@ -218,4 +218,4 @@ SELECT l_orderkey, array_to_string(list_transform(v, lambda x: x * 2), ',') AS m
         "strings": r"""SELECT doc_id, md5(regexp_replace(text || chr(1) || ' ' || chr(9) || ' end ', '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')) AS clean, true AS has_control, md5(replace(replace(replace('(\' || text || ')', '\', '\\'), '(', '\('), ')', '\)')) AS escaped, md5(text) AS round_trip, strlen(text) * (CAST(12 AS DOUBLE) * CAST(0.6 AS DOUBLE)) AS width FROM documents""",
         "permissions_and_pixels": f"WITH {BLOCKS} SELECT page_id, block_seq, -3904 | {bits} AS word, x * CAST(0.5 AS DOUBLE) AS px, 1000.0 - y * CAST(1 AS DOUBLE) - height * CAST(1 AS DOUBLE) AS py, width * CAST(0.5 AS DOUBLE) AS pw, height * CAST(1 AS DOUBLE) AS ph FROM blocks",
     }
-    return sql | _more_sql(sql) | contents.oracle_sql()
+    return sql | _more_sql(sql) | contents.oracle_sql() | marks.oracle_sql()

@@ -51,3 +51,23 @@ def placed_images(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("doc_id") % 50 + 100).cast("int").alias("pixel_width"), F.lit(40).alias("pixel_height"), F.when(F.col("page_num") % 2 == 0, "jpeg").otherwise("png").alias("format"),
         F.expr("named_struct('a', 180D, 'b', 0D, 'c', 0D, 'd', 20D, 'e', cast(page_num % 3 * 40 + 60 as double), 'f', 620D)").alias("transform"),
     )
+
+
+def operators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A drawing operator for each line item, a page for each order: saved states, matrices, widths and colours."""
+    b = table(spark, sf_dir, "lineitem").selectExpr("*", "cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) as int) as op_seq")
+    kind = F.expr("case (l_partkey + l_linenumber) % 7 when 0 then 'q' when 1 then 'Q' when 2 then 'w' when 3 then 'rg' when 4 then 'q' else 'cm' end").alias("op")
+    turn = F.expr("array(1 + (l_suppkey % 3 - 1) * 0.5D, (l_partkey % 3 - 1) * 0.25D, l_linenumber % 2 * 0.5D, case when l_partkey % 2 = 0 then 1D else -1D end, cast(l_quantity as double), cast(l_partkey % 100 as double))")
+    args = F.when(F.col("op") == "cm", turn).when(F.col("op") == "w", F.expr("array(cast(l_partkey % 8 as double))")).when(F.col("op") == "rg", F.expr("array(l_partkey % 4 / 4D, l_suppkey % 4 / 4D, 0.5D)"))
+    b = b.withColumn("op", kind).withColumn("args", args)
+    return b.selectExpr("l_orderkey div 10 as doc_id", "cast(l_orderkey % 10 as int) as page_num", "op_seq", "op", "args")
+
+
+def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of each document as codes of one of two fonts."""
+    return table(spark, sf_dir, "documents").selectExpr("doc_id", "concat('F', cast(1 + doc_id % 2 as string)) as font", "transform(split(text, ''), c -> cast(ascii(c) as bigint)) as codes")
+
+
+def code_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of codes from parts, which overlap."""
+    return table(spark, sf_dir, "part").selectExpr("concat('F', cast(1 + p_partkey % 2 as string)) as font", "cast(p_partkey as bigint) as range_seq", "cast(p_partkey * 37 % 400 as bigint) as low", "cast(p_partkey * 37 % 400 + p_partkey % 60 as bigint) as high", "cast(65 + p_partkey % 500 as bigint) as start")
