@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -12,8 +14,17 @@ from pyspark.sql import functions as F
 
 from pageloom.llm.common import held_out, uniform
 
-#: Runs of letters; digits, marks of punctuation and the underscore end a word.
-LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _class(*kinds: str) -> str:
+    """The characters of the general categories that start with one of `kinds`, as ranges of a character class."""
+    inside = [unicodedata.category(chr(c))[0] in kinds for c in range(sys.maxunicode + 1)]
+    edges = [c for c in range(len(inside)) if inside[c] != (c > 0 and inside[c - 1])]
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], [*edges[1::2], sys.maxunicode + 1]))
+
+
+#: A letter and the letters and combining marks that follow it; digits, other numbers, punctuation and the underscore end a word.
+LETTERS = re.compile(f"[{_class('L')}][{_class('L', 'M')}]*")
 LONGEST = 5
 #: Labelled documents to draw of a rare language.
 FLOOR = 100
@@ -151,8 +162,10 @@ def train(docs: DataFrame, max_docs: int = 3000, max_terms: int = 8000) -> Model
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score (posterior, 0 to 1) of every whole text.
 
-    Null, empty or letterless text: `und` and 0. The model is broadcast; its size is bounded by
-    train(). Ties go to the first language by name. Every row is scored, repeated ones too.
+    Null, empty or letterless text: `und` and 0; numbers that look like letters, such as ² or Ⅳ, are
+    none. The model is broadcast; its size is bounded by train(). Ties go to the first language by
+    name. Every row is scored, repeated ones too; an empty table gives no row, and columns other
+    than doc_id and text don't matter.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
