@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.llm.common import fresh
+
 #: Words of a shingle, blocks of a fingerprint, and the bits that may differ in one block.
 SHINGLE, BLOCKS, FLIPS = 5, 4, 4
 #: Fingerprints at most this far apart agree in some block up to FLIPS bits.
@@ -107,5 +109,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, broa
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:
     """The rows of docs, columns as they were, whose text holds no benchmark item."""
-    bad = matches(docs, benchmark, similarity).select(F.col("doc_id").alias("_id"), F.col("k").alias("_k")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_k")), "left_anti")
+    one, two = fresh(docs, "bad_id"), fresh(docs, "bad_text")
+    bad = matches(docs, benchmark, similarity).select(F.col("doc_id").alias(one), F.col("k").alias(two)).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col(one)) & (F.xxhash64(docs["text"]) == F.col(two)), "left_anti")

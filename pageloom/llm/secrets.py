@@ -8,6 +8,8 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.llm.common import fresh
+
 #: Characters before a candidate that count as its neighbourhood.
 NEAR = 24
 #: Words of a candidate's neighbourhood that speak for and against a secret.
@@ -138,26 +140,32 @@ def train(spark, each: int = 300) -> list:
     return forest([(tuple(r)[:-1], r["y"]) for r in got])
 
 
-def findings(docs: DataFrame, threshold: float = 0.5, each: int = 300) -> DataFrame:
-    """doc_id, secret, sha256 of it, score and is_secret of each distinct finding of a text.
-
-    Candidates come from the whole text by one pattern; the forest scores length, character
-    transitions, dictionary coverage, path and neighbouring words. Null and empty texts have no
-    findings. Equal findings in one text count once: each place is judged by its own neighbourhood
-    and the highest score holds, also over rows that repeat an id.
-    """
+def _scored(docs: DataFrame, each: int) -> DataFrame:
+    """doc_id, k (hash of the text), secret and the highest score of its places in the text."""
     trees = train(docs.sparkSession, each)
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
     found = text.select("doc_id", "t", F.regexp_extract_all("t", F.lit(TOKEN), F.lit(0)).alias("all")).where(F.size("all") > 0)
-    found = found.select("doc_id", "all", F.split("t", TOKEN, -1).alias("between"))
+    found = found.select("doc_id", F.xxhash64("t").alias("k"), "all", F.split("t", TOKEN, -1).alias("between"))
     # a candidate and the text before it are 8 characters or more, so NEAR / 8 of them reach far enough
     before = f"right(array_join(transform(sequence(greatest(0, i - {NEAR // 8}), i), j -> concat(right(between[j], {NEAR}), if(j < i, right(all[j], {NEAR}), ''))), ''), {NEAR})"
-    found = found.select("doc_id", F.explode(F.expr(f"array_distinct(transform(all, (s, i) -> struct(s as secret, {before} as before)))")).alias("f"))
+    found = found.select("doc_id", "k", F.explode(F.expr(f"array_distinct(transform(all, (s, i) -> struct(s as secret, {before} as before)))")).alias("f"))
     cols = [f"x.{n}" for n in NAMES]
     held = F.struct(*[f.cast("double").alias(n) for n, f in zip(NAMES, features(F.col("f.secret"), F.col("f.before")))])
     # a generator of one row keeps the optimizer from copying the features into each node of each tree
-    found = found.select("doc_id", F.col("f.secret").alias("secret"), F.explode(F.array(held)).alias("x"))
-    found = found.select("doc_id", "secret", probability(trees, cols).alias("score")).groupBy("doc_id", "secret").agg(F.max("score").alias("score"))
+    found = found.select("doc_id", "k", F.col("f.secret").alias("secret"), F.explode(F.array(held)).alias("x"))
+    return found.select("doc_id", "k", "secret", probability(trees, cols).alias("score")).groupBy("doc_id", "k", "secret").agg(F.max("score").alias("score"))
+
+
+def findings(docs: DataFrame, threshold: float = 0.5, each: int = 300) -> DataFrame:
+    """doc_id, secret, sha256 of it, score and is_secret of each distinct finding of a text.
+
+    Candidates come from the whole text by one pattern; the forest scores length, character
+    transitions, dictionary coverage, path and neighbouring words. Null and empty texts have no
+    findings, an empty table none. Equal findings in one text count once: each place is judged by
+    its own neighbourhood and the highest score holds, also over rows that repeat an id; rows with
+    a null id count as one document. Columns other than doc_id and text don't matter.
+    """
+    found = _scored(docs, each).groupBy("doc_id", "secret").agg(F.max("score").alias("score"))
     return found.select("doc_id", "secret", F.sha2("secret", 256).alias("secret_sha256"), "score", (F.col("score") >= threshold).alias("is_secret"))
 
 
@@ -165,13 +173,16 @@ def redact(docs: DataFrame, threshold: float = 0.5, each: int = 300) -> DataFram
     """docs with each found secret replaced by MARK in text; all rows stay, all columns as they were.
 
     n_chars, where there is one, follows the new text. Secrets are replaced longest first; those under
-    LONG characters only where they are no part of a longer word.
+    LONG characters only where they are no part of a longer word. A row loses the secrets of its own
+    text only, also where ids repeat or are null; null and empty texts stay; an empty table stays empty.
     """
-    bad = findings(docs, threshold, each).where("is_secret").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct(F.length("secret").alias("n"), "secret")), asc=False).alias("_bad"))
-    bad = bad.withColumnRenamed("doc_id", "_id")
+    one, two, bad = (fresh(docs, n) for n in ("secret_id", "secret_text", "secrets"))
+    found = _scored(docs, each).where(F.col("score") >= threshold).groupBy(F.col("doc_id").alias(one), F.col("k").alias(two))
+    found = found.agg(F.sort_array(F.collect_set(F.struct(F.length("secret").alias("n"), "secret")), asc=False).alias(bad))
     alone = r"concat('(?<![A-Za-z0-9_])\\Q', s.secret, '\\E(?![A-Za-z0-9_])')"
-    clean = F.expr(f"aggregate(_bad, text, (t, s) -> if(s.n >= {LONG}, replace(t, s.secret, '{MARK}'), regexp_replace(t, {alone}, '{MARK}')))")
-    out = docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_id")), "left").withColumn("text", F.when(F.col("_bad").isNull(), F.col("text")).otherwise(clean))
+    clean = F.expr(f"aggregate(`{bad}`, text, (t, s) -> if(s.n >= {LONG}, replace(t, s.secret, '{MARK}'), regexp_replace(t, {alone}, '{MARK}')))")
+    own = docs["doc_id"].eqNullSafe(F.col(one)) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(two))
+    out = docs.join(found, own, "left").withColumn("text", F.when(F.col(bad).isNull(), F.col("text")).otherwise(clean))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_bad").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint")))
+        out = out.withColumn("n_chars", F.when(F.col(bad).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint")))
     return out.select(*docs.columns)
