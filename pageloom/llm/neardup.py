@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 from bisect import bisect_left
 
 import numpy as np
@@ -141,21 +140,32 @@ def _merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _sign(batches):
+    """id, node, n, counts and keys of each row; of the rows of a partition with one text only the first has keys."""
     names = ["id", "node", "n", "counts", "keys"]
     types = [pa.int64(), pa.binary(), pa.list_(pa.int64())]
+    seen: set[int] = set()
     for b in batches:
         for at in range(0, b.num_rows, 500):
             part = b.slice(at, 500)
             n, counts, keys = [], [], []
-            for text in part.column("text").to_pylist():
+            for node, text in zip(part.column("node").to_pylist(), part.column("text").to_pylist()):
                 words = words_of(text)[3]
                 n.append(len(words))
                 counts.append(word_counts(words).tobytes())
-                keys.append(band_keys(words).view(np.int64) if len(words) else [])
+                keys.append(band_keys(words).view(np.int64) if len(words) and node not in seen else [])
+                seen.add(node)
             columns = [part.column("id"), part.column("node"), *(pa.array(v, t) for v, t in zip((n, counts, keys), types))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
 
+def _first_texts(batches):
+    """The first row of each node in a partition."""
+    seen: set[int] = set()
+    for b in batches:
+        at = [i for i, node in enumerate(b.column("node").to_pylist()) if node not in seen and not seen.add(node)]
+        yield b.take(pa.array(at, pa.int64()))
+
+
 def _sequences(batches):
     for b in batches:
         got = [(words_of(t)[3] >> np.uint64(32)).astype(np.uint32).tobytes() for t in b.column("text").to_pylist()]
@@ -307,6 +317,7 @@ def _buckets(rows: DataFrame, leaf: int) -> DataFrame:
     all of its buckets, so most of the group is linked to it at once, and to the same one in each.
     groups is the number of groups that the head's buckets are dealt to, so that one has about GROUP
     rows; 0 if the key has one node besides the head at most, null if it may have more than `leaf`.
+    A text counts once for each partition that has it.
     """
     size = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     own = rows.join(size, "key").distinct()
@@ -326,6 +337,40 @@ def _star(cand: DataFrame, labels: DataFrame, known: DataFrame, seqs: DataFrame,
     return _meet(heads, pairs.select(F.col("y").alias("g"), F.col("x").alias("node")), seqs, far, False).toDF("a", "b")
 
 
+def _large(cand: DataFrame, labels: DataFrame, known: DataFrame, seqs: DataFrame, far: float, leaf: int) -> DataFrame:
+    """Links (a, b) of labels by members of the buckets that are too large for _across().
+
+    The members of a bucket's most common class are of one class already. Each of the others is held against
+    that class. Among the others, blocks of about leaf / 2 meet two by two, in a group each, so every
+    pair of them is looked at in some group of about `leaf` members and none is left out.
+    """
+    size = labels.groupBy("label").agg(F.count("*").alias("of"))
+    rows = cand.where(F.col("groups").isNull()).select("key", "node").join(labels, "node")
+    per = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
+    chief = per.groupBy("key").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("all"))
+    chief = chief.where("m.n < all").select("key", F.col("m.label").alias("chief"), F.ceil((F.col("all") - F.col("m.n")) * 2 / leaf).cast("int").alias("blocks"))
+    rest, n = packed(rows.join(chief, "key").where("label <> chief"))
+    if not n:
+        return labels.select(F.col("label").alias("a"), F.col("label").alias("b")).limit(0)
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    pairs = rest.withColumn("own", block).select("key", "node", "own", "blocks", other.alias("with"))
+    key = F.xxhash64("key", F.least("own", "with"), F.greatest("own", "with"))
+    about = known.join(labels.join(size, "label"), "node")
+    pairs = pairs.select(key.alias("key"), "node").join(about, "node").withColumn("g", F.col("key"))
+    pairs = pairs.select("g", "key", "node", "n", "label", "of", "counts").repartition("g").sortWithinPartitions("g", "key")
+    tests = pairs.mapInArrow(_untried(far, False), "node bigint, other bigint")
+    return _held(tests.union(rest.select("node", F.col("chief").alias("other"))), labels, seqs, far)
+
+
+def _held(tests: DataFrame, labels: DataFrame, seqs: DataFrame, far: float) -> DataFrame:
+    """Links (a, b) of labels: tests are (node, other), a node to be held against the class with the label other."""
+    tests, _ = packed(tests.distinct())
+    members = labels.join(tests.select(F.col("other").alias("label")).distinct(), "label").select(F.col("label").alias("g"), "node")
+    found = _meet(tests.select(F.col("other").alias("g"), "node"), members, seqs, far, True).distinct()
+    return found.join(labels.toDF("x", "lx"), "x").select(F.col("g").alias("a"), F.col("lx").alias("b"))
+
+
 def _across(cand: DataFrame, labels: DataFrame, known: DataFrame, seqs: DataFrame, far: float, largest: bool) -> DataFrame:
     """Links (a, b) of labels by members of a bucket, its head apart, that are of different classes.
 
@@ -336,10 +381,7 @@ def _across(cand: DataFrame, labels: DataFrame, known: DataFrame, seqs: DataFram
     group = F.xxhash64("head", F.pmod(F.xxhash64("key"), F.col("groups"))).alias("g")
     rows = cand.where((F.col("groups") > 0) & (F.col("node") != F.col("head"))).select(group, "key", "node").join(about, "node")
     rows = rows.select("g", "key", "node", "n", "label", "of", "counts").repartition("g").sortWithinPartitions("g", "key")
-    tests, n = packed(rows.mapInArrow(_untried(far, largest), "node bigint, other bigint").distinct())
-    members = labels.join(tests.select(F.col("other").alias("label")).distinct(), "label").select(F.col("label").alias("g"), "node")
-    found = _meet(tests.select(F.col("other").alias("g"), "node"), members, seqs, far, True).distinct()
-    return found.join(labels.toDF("x", "lx"), "x").select(F.col("g").alias("a"), F.col("lx").alias("b"))
+    return _held(rows.mapInArrow(_untried(far, largest), "node bigint, other bigint"), labels, seqs, far)
 
 
 def classes(docs: DataFrame, similarity: float = 0.8, leaf: int = 4096) -> DataFrame:
@@ -350,25 +392,16 @@ def classes(docs: DataFrame, similarity: float = 0.8, leaf: int = 4096) -> DataF
     sig = cut(d.mapInArrow(_sign, "id bigint, node bigint, n bigint, counts binary, keys array<bigint>"))
     cand = _buckets(sig.select(F.explode("keys").alias("key"), "node"), leaf)
     need = cand.select("node").distinct()
-    known = sig.select("node", "n", "counts").join(need, "node").groupBy("node")
+    known = sig.where(F.size("keys") > 0).select("node", "n", "counts").join(need, "node").groupBy("node")
     known, _ = packed(known.agg(F.first("n").alias("n"), F.first("counts").alias("counts")))
-    texts = d.select("node", "text").join(known.select("node"), "node").groupBy("node").agg(F.first("text").alias("text"))
+    texts = d.select("node", "text").mapInArrow(_first_texts, "node bigint, text string")
+    texts = texts.join(known.select("node"), "node").groupBy("node").agg(F.first("text").alias("text"))
     seqs = cut(texts.mapInArrow(_sequences, "node bigint, seq binary"))
     labels = _merged(known.select("node", F.col("node").alias("label")), _star(cand, None, known, seqs, far))
-    for level in itertools.count(1):
-        # what joins the largest class of its bucket is not held against all other classes one by one
-        for largest in (True, False):
-            labels = _merged(labels, _across(cand, labels, known, seqs, far, largest))
-        large = cand.where((F.col("groups").isNull()) & (F.col("node") != F.col("head"))).select("key", "node").join(labels, "node")
-        mixed = large.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        large, n = packed(large.join(mixed, "key").select("key", "node"))
-        if not n:
-            break
-        pick = [F.element_at("keys", (level * 31 + c * 37) % BANDS + 1) for c in range(3)]
-        keys = sig.select("node", "keys").join(large.select("node").distinct(), "node").groupBy("node").agg(F.first("keys").alias("keys"))
-        cand = _buckets(large.join(keys, "node").select(F.explode(F.array(*[F.xxhash64("key", p) for p in pick])).alias("key"), "node"), leaf)
-        links = _star(cand, labels, known, seqs, far).join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b")
-        labels = _merged(labels, links.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    # what joins the largest class of its bucket is not held against all other classes one by one
+    for largest in (True, False):
+        labels = _merged(labels, _across(cand, labels, known, seqs, far, largest))
+    labels = _merged(labels, _large(cand, labels, known, seqs, far, leaf))
     return sig.select("id", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
@@ -386,9 +419,10 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, leaf: int = 4096)
     First each member of a bucket is aligned with its head. Then only members of different classes
     matter. Within buckets of up to `leaf` nodes all pairs are held against a bound on their word
     counts, in place and without a row for any pair; a node that may have a partner in another class
-    is aligned with that class, first if it is the bucket's largest, then with those left. Larger buckets that still hold several classes are split by further
-    sketches and go through the same, until none is left: pairs that share only such buckets must
-    share one more sketch of three for each split.
+    is aligned with that class, first if it is the bucket's largest, then with those left. In larger
+    buckets the members that are not of the largest class are held against that class, and against one
+    another by blocks that meet two by two, so a bucket's size decides how pairs are found and never
+    whether. Copies of a text count once for each partition of docs.
 
     Texts without words are each a class of their own. A null id sorts last: a class without any
     other has a null class_id. An empty table gives no rows. Other columns of docs do not matter.
