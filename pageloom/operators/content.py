@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.functions import fitting
-from pageloom.operators.layout import ELEMENT, PAGE, reading_order, text_blocks
+from pageloom.operators.layout import PAGE, reading_order, split_pages, text_blocks
 from pageloom.operators.scan import segmented_scan
 
 COLOR = "struct<r:double,g:double,b:double>"
@@ -99,6 +99,17 @@ def merged_stream(blocks: DataFrame) -> DataFrame:
     )
 
 
+def split_stream(blocks: DataFrame, page_height: float = 842.0, spacing: float = 10.0, margin: float = 50.0) -> DataFrame:
+    """A document's blocks packed into new pages, from the highest down whatever page they were on: out_page and y.
+
+    Columns are as they were, with page_num kept and y that of the new page; elements keep theirs.
+    """
+    numbered = blocks.withColumn("was", F.col("block_seq")).withColumn("block_seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_num", "block_seq")))
+    placed = split_pages(numbered, page_height, spacing, margin, page=("doc_id",))
+    out = numbered.drop("y").join(placed.withColumnRenamed("new_y", "y"), ["doc_id", "block_seq"])
+    return out.drop("block_seq").withColumnRenamed("was", "block_seq").select(*blocks.columns, "out_page")
+
+
 def fit_content(blocks: DataFrame, least: float = 6.0, spacing: float = 1.2) -> DataFrame:
     """Blocks with the font size at which their text fits their box.
 

@@ -21,6 +21,10 @@ class Style(NamedTuple):
     page_height: float = 842.0
 
 
+#: Larger type and narrower margins, for slides.
+SLIDES = Style((48.0, 36.0, 28.0, 24.0, 20.0, 18.0), 18.0, 1.3, 18.0, 50.0, 540.0)
+
+
 def inline_text(text: Column) -> Column:
     """Text without marks of emphasis, links and images; code spans go with what they hold."""
     for pattern, kept in ((r"`+[^`]*`+", ""), (r"!?\[([^\]]*)\]\([^)]*\)", "$1"), (r"(\*\*\*|\*\*|\*)(?=\S)(.+?)(?<=\S)\1", "$2"), (r"\b(__|_)(?=\S)(.+?)(?<=\S)\1\b", "$2"), (r"\\([\\`*_{}\[\]()#+.!-])", "$1")):

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pageloom.functions import text as T
 from pageloom.functions import values as V
 from pageloom.operators import layout as L
-from pageloom.operators import markdown as M
 from pageloom.plans import contents, marks
 from pageloom.plans.tables import BLOCKS, ELEMENTS, LINES, ORDER, TEXT_BLOCK, text_block_ctes
 from pageloom.sources import pdf, pdfsink
@@ -123,7 +122,6 @@ def queries():
         "dates": _dates,
         "geometry": _geometry,
         "sealed_files": _sealed,
-        "markdown_layout": lambda s, d: M.layout(M.nodes(table(s, d, "documents"))),
         "collections": _collections,
         "strings": _strings,
         "sorted_elements": lambda s, d: L.sorted_elements(elements(s, d)).select(*L.PAGE, "elem_seq", "line_no", "rank"),

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pageloom.functions import fitting
+from pageloom.functions import values as V
 from pageloom.operators import content as C
 from pageloom.operators import layout as L
+from pageloom.operators import markdown as M
+from pageloom.operators.wrapping import wrapped_lines
 from pageloom.plans.tables import TEXT_BLOCK, text_block_ctes
 from pageloom.sources.derived import elements, pages, placed_images, table
 
@@ -51,6 +54,20 @@ def _sizes(spark, d, **fits):
     return table(spark, d, "documents").select("doc_id", *[fitting.fitted_size("text", "400D", "600D", f).alias(n) for n, f in fits.items()])
 
 
+def _encoded(spark, d):
+    """Documents, and their first 40 characters alone, as literals or digits and back."""
+    docs = table(spark, d, "documents").select("doc_id", "text", F.substring("text", 1, 40).alias("head"))
+    whole, head = V.encode_string(F.col("text")), V.encode_string(F.col("head"))
+    return docs.select("doc_id", F.md5(whole).alias("encoded"), head.alias("head"), F.md5(V.decode_string(whole)).alias("back"), V.decode_string(head).alias("head_back"))
+
+
+def _marked(spark, d):
+    """Documents as Markdown: a heading, every line a paragraph with some emphasis, and an item."""
+    head = F.concat(F.repeat(F.lit("#"), (F.col("doc_id") % 6 + 1).cast("int")), F.lit(" Document "), F.col("doc_id").cast("string"))
+    body = F.regexp_replace(F.translate("text", "*#", ""), "\n+", "\n\n")
+    return table(spark, d, "documents").select("doc_id", F.concat(head, F.lit("\n\n"), body, F.lit("\n\n- **strong** and _slanted_ [link](http://a)\n```\ncode\n```\n")).alias("text"))
+
+
 def queries():
     return {
         "content_blocks": _content_rows,
@@ -64,6 +81,11 @@ def queries():
         "drawn_lines": _drawn,
         "fitted_sizes": lambda s, d: _sizes(s, d, size=fitting.Fit(grow=True)),
         "shrunk_sizes": lambda s, d: _sizes(s, d, shrunk=fitting.Fit(), kept=fitting.Fit(shrink=False)),
+        "split_stream": lambda s, d: C.split_stream(_content(s, d)).select(*L.PAGE, "block_seq", "out_page", "y"),
+        "wrapped_documents": lambda s, d: wrapped_lines(table(s, d, "documents"), ["doc_id"], 200.0, 10.0),
+        "encoded_texts": _encoded,
+        "markdown_layout": lambda s, d: M.layout(M.nodes(table(s, d, "documents"))),
+        "slide_layout": lambda s, d: M.layout(M.nodes(_marked(s, d)), style=M.SLIDES),
         "page_report": lambda s, d: C.report(elements(s, d), _content(s, d)),
     }
 
@@ -79,6 +101,14 @@ u AS (SELECT tb.doc_id, tb.page_num, CAST(tb.block_seq AS INT) AS block_seq, 'te
 cb AS (SELECT * REPLACE (CASE WHEN doc_id % 5 = 0 THEN CAST(842 AS DOUBLE) - y - height ELSE y END AS y, CASE WHEN doc_id % 5 = 0 THEN CAST(842 AS DOUBLE) - first_y ELSE first_y END AS first_y) FROM u)"""
 
 
+def _literal(text: str) -> str:
+    """A text as an escaped literal, or as digits of UTF-16 if it has other than ASCII."""
+    point = "unicode(c)"
+    digits = f"CASE WHEN {point} < 65536 THEN printf('%04X', {point}) ELSE printf('%04X%04X', 55296 + ({point} - 65536) // 1024, 56320 + ({point} - 65536) % 1024) END"
+    escaped = f"replace(replace(replace({text}, '\\', '\\\\'), '(', '\\('), ')', '\\)')"
+    return f"CASE WHEN strlen({text}) = length({text}) THEN '(' || {escaped} || ')' ELSE '<FEFF' || array_to_string(list_transform(string_split({text}, ''), lambda c: {digits}), '') || '>' END"
+
+
 def _ranked(table: str) -> str:
     """Up to ro, a table's blocks with their rank in reading order."""
     return f"""ro1 AS (SELECT *, y + height AS top, lag(y + height) OVER w - (y + height) AS fall FROM {table} WINDOW w AS (PARTITION BY doc_id, page_num ORDER BY y + height DESC, x, block_seq)),
@@ -140,6 +170,35 @@ UNION ALL SELECT doc_id, page_num, rank, 1, 'text', text, x, y, font_size, NULL,
 UNION ALL SELECT doc_id, page_num, rank, 1, 'image', NULL, x, y, NULL, width, height FROM ro WHERE block_type = 'image'""",
         "fitted_sizes": f"SELECT k AS doc_id, best AS size FROM ({each['size']})",
         "shrunk_sizes": f"SELECT b.k AS doc_id, b.best AS shrunk, c.best AS kept FROM ({each['shrunk']}) b JOIN ({each['kept']}) c ON c.k = b.k",
+        "split_stream": f"""WITH RECURSIVE {_CONTENT}, sn AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_num, block_seq) AS INT) AS n FROM cb),
+sf AS (SELECT *, y + height AS top, lag(y + height) OVER (PARTITION BY doc_id ORDER BY y + height DESC, x, n) - (y + height) AS fall FROM sn),
+sb AS (SELECT *, sum(CASE WHEN fall > 1.0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY top DESC, x, n ROWS UNBOUNDED PRECEDING) AS band FROM sf),
+so AS MATERIALIZED (SELECT doc_id, page_num, block_seq, height, row_number() OVER (PARTITION BY doc_id ORDER BY band, x, n) AS rank FROM sb),
+f AS (SELECT doc_id, page_num, block_seq, rank, 0 AS out_page, CAST(792.0 AS DOUBLE) - height AS y FROM so WHERE rank = 1 UNION ALL
+SELECT so.doc_id, so.page_num, so.block_seq, so.rank, CASE WHEN f.y - 10.0 - so.height < 50.0 THEN f.out_page + 1 ELSE f.out_page END, CASE WHEN f.y - 10.0 - so.height < 50.0 THEN CAST(792.0 AS DOUBLE) ELSE f.y - 10.0 END - so.height FROM f JOIN so ON so.doc_id = f.doc_id AND so.rank = f.rank + 1)
+SELECT doc_id, page_num, block_seq, out_page, y FROM f""",
+        "wrapped_documents": r"""WITH p AS (SELECT doc_id, q, i, list_filter(regexp_split_to_array(q, '\s+'), lambda w: w <> '') AS ws FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS q, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+f AS (SELECT doc_id, i, CASE WHEN len(ws) = 0 THEN '' ELSE list_reduce(ws, lambda a, w: CASE WHEN strlen(regexp_extract(a, '[^\n]*$') || ' ' || w) * (CAST(10 AS DOUBLE) * CAST(0.6 AS DOUBLE)) <= 200 THEN a || ' ' || w ELSE a || chr(10) || w END) END AS folded FROM p WHERE q = '' OR len(ws) > 0),
+l AS (SELECT doc_id, string_split(string_agg(folded, chr(10) ORDER BY i), chr(10)) AS l FROM f GROUP BY doc_id)
+SELECT doc_id, CAST(generate_subscripts(l, 1) AS INT) AS line_no, unnest(l) AS line FROM l""",
+        "encoded_texts": f"SELECT doc_id, md5({_literal('text')}) AS encoded, {_literal('head')} AS head, md5(text) AS back, head AS head_back FROM (SELECT doc_id, text, left(text, 40) AS head FROM documents)",
+        "slide_layout": f"""WITH RECURSIVE k AS (SELECT doc_id, CAST(doc_id % 6 + 1 AS INT) AS level, list_filter(list_transform(string_split_regex(translate(text, '*#', ''), '\\n+'), lambda p: p), lambda p: trim(p) <> '') AS ps FROM documents),
+n AS (SELECT doc_id, 1 AS i, level, 'Document ' || CAST(doc_id AS VARCHAR) AS text FROM k UNION ALL SELECT doc_id, i + 1, 0, text FROM (SELECT doc_id, unnest(ps) AS text, generate_subscripts(ps, 1) AS i FROM k) UNION ALL SELECT doc_id, len(ps) + 2, 0, 'strong and slanted link' FROM k),
+z AS MATERIALIZED (SELECT doc_id, CAST(i AS INT) AS elem_seq, regexp_replace(text, '[ \\t]+#*[ \\t]*$', '') AS text, CASE WHEN level = 0 THEN CAST(18 AS DOUBLE) ELSE [48, 36, 28, 24, 20, 18][level] END AS size, CASE WHEN level = 0 THEN 'Helvetica' ELSE 'Helvetica-Bold' END AS font, level FROM n),
+s AS (SELECT *, CASE WHEN level = 0 THEN CAST(18 AS DOUBLE) * CAST(1.3 AS DOUBLE) * 3 ELSE size + 18 END AS need, CASE WHEN level = 0 THEN CAST(18 AS DOUBLE) * CAST(1.3 AS DOUBLE) + 18 ELSE size + 18 END AS step FROM z),
+f AS (SELECT doc_id, elem_seq, 0 AS page_num, CAST(490 AS DOUBLE) AS y, step FROM s WHERE elem_seq = 1 UNION ALL
+SELECT s.doc_id, s.elem_seq, CASE WHEN f.y - f.step - need < 50 THEN page_num + 1 ELSE page_num END, CASE WHEN f.y - f.step - need < 50 THEN CAST(490 AS DOUBLE) ELSE f.y - f.step END, s.step FROM f JOIN s ON s.doc_id = f.doc_id AND s.elem_seq = f.elem_seq + 1)
+SELECT z.doc_id, page_num, z.elem_seq, text, CAST(50 AS DOUBLE) AS x, y, size, font FROM z JOIN f ON f.doc_id = z.doc_id AND f.elem_seq = z.elem_seq""",
+        # these documents hold no emphasis but runs of three stars, of which one is left
+        "markdown_layout": r"""WITH RECURSIVE q AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM (SELECT doc_id, regexp_replace(text, '(?ms)^ {0,3}```.*?(^ {0,3}```[^\n]*$|\z)|^ {0,3}~~~.*?(^ {0,3}~~~[^\n]*$|\z)', chr(10), 'g') AS text FROM documents)),
+h AS (SELECT *, length(regexp_extract(line, '^ {0,3}(#{1,6})[ \t]+\S', 1)) AS level, regexp_matches(line, '^\s*([-*+]|\d+[.)]|>)[ \t]') AS item FROM q),
+b AS (SELECT *, sum(CASE WHEN level > 0 OR item OR trim(line) = '' OR coalesce(lag_level, 0) > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS node FROM (SELECT *, lag(level) OVER (PARTITION BY doc_id ORDER BY i) AS lag_level FROM h)),
+t AS (SELECT doc_id, node, max(level) AS level, regexp_replace(string_agg(regexp_replace(regexp_replace(line, '^\s*([-*+]|\d+[.)]|>)[ \t]+|^ {0,3}#{1,6}[ \t]+', '', 'g'), '[ \t]+#*[ \t]*$', '', 'g'), chr(10) ORDER BY i), '\*\*\*', '*', 'g') AS text FROM b WHERE trim(line) <> '' GROUP BY doc_id, node),
+z AS MATERIALIZED (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY node) AS INT) AS elem_seq, text, level, CASE WHEN level = 0 THEN CAST(12 AS DOUBLE) ELSE [36, 28, 22, 18, 14, 12][level] END AS size, CASE WHEN level = 0 THEN 'Helvetica' ELSE 'Helvetica-Bold' END AS font FROM t WHERE level > 0 OR text <> ''),
+s AS (SELECT *, CASE WHEN level = 0 THEN CAST(12 AS DOUBLE) * CAST(1.2 AS DOUBLE) * 3 ELSE size + 12 END AS need, CASE WHEN level = 0 THEN CAST(12 AS DOUBLE) * CAST(1.2 AS DOUBLE) + 12 ELSE size + 12 END AS step FROM z),
+f AS (SELECT doc_id, elem_seq, 0 AS page_num, CAST(770 AS DOUBLE) AS y, step FROM s WHERE elem_seq = 1 UNION ALL
+SELECT s.doc_id, s.elem_seq, CASE WHEN f.y - f.step - need < 72 THEN page_num + 1 ELSE page_num END, CASE WHEN f.y - f.step - need < 72 THEN CAST(770 AS DOUBLE) ELSE f.y - f.step END, s.step FROM f JOIN s ON s.doc_id = f.doc_id AND s.elem_seq = f.elem_seq + 1)
+SELECT z.doc_id, page_num, z.elem_seq, text, CAST(72 AS DOUBLE) AS x, y, size, font FROM z JOIN f ON f.doc_id = z.doc_id AND f.elem_seq = z.elem_seq""",
         "page_report": f"""WITH {_CONTENT}, r AS (SELECT doc_id, page_num, 1 AS e, 0 AS t, 0 AS i, 0 AS d, CASE WHEN regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]') THEN 1 ELSE 0 END AS c, CASE WHEN regexp_matches(text, '[\\x{{80}}-\\x{{9F}}]') THEN 1 ELSE 0 END AS u, CASE WHEN regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x{{80}}-\\x{{9F}}\\x{{10000}}-\\x{{10FFFF}}]') THEN 1 ELSE 0 END AS p FROM elements
  UNION ALL SELECT doc_id, page_num, 0, CASE WHEN block_type = 'text' THEN 1 ELSE 0 END, CASE WHEN block_type = 'image' THEN 1 ELSE 0 END, CASE WHEN block_type = 'text' AND y > lag(y) OVER (PARTITION BY doc_id, page_num, block_type ORDER BY block_seq) THEN 1 ELSE 0 END, 0, 0, 0 FROM cb)
 SELECT doc_id, page_num, CAST(sum(e) AS BIGINT) AS n_elements, CAST(sum(t) AS BIGINT) AS n_text_blocks, CAST(sum(i) AS BIGINT) AS n_images, CAST(sum(d) AS BIGINT) AS n_disordered, CAST(sum(c) AS BIGINT) AS n_control, CAST(sum(u) AS BIGINT) AS n_unusual, CAST(sum(p) AS BIGINT) AS n_problems FROM r GROUP BY ROLLUP (doc_id, page_num)""",
