@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import NO_ID, batch, range_hashes, sliding_hashes
+from pageloom.llm.common import NO_ID, SEED, batch, range_hashes, sliding_hashes
 from pageloom.llm.substrings import COMMON, covered, keyed, sampled, shared_anchors, squeezed
 
 SEPARATOR = 0xFF  # never a byte of UTF-8
@@ -186,6 +186,29 @@ def earlier_windows(segments: list[bytes], ids: np.ndarray, width: int) -> list[
     return np.bincount(owner[hit], weights=2.0 ** place[hit], minlength=len(segments)).astype(np.int64).tolist()
 
 
+def meeting(segments: list[bytes], anchors: np.ndarray, width: int, k: int) -> np.ndarray:
+    """Whether a segment may share a window with another segment of its anchor.
+
+    A window holds its anchor and width - k bytes around it, so at least half of them stand on one
+    side: two segments that share a window have equal bytes there, on the left of their anchors or on the right.
+    The anchor is the first least k-gram of a segment's first window. Segments shorter than that,
+    single windows, meet if they are equal.
+    """
+    sizes = np.array([len(s) for s in segments])
+    data = np.frombuffer(b"".join(segments), np.uint8)
+    first = np.cumsum(sizes) - sizes
+    h = sliding_hashes(data, k) & np.uint64((1 << 48) - 1)
+    at = first + h[first[:, None] + np.arange(width - k + 1)].argmin(1)
+    half = (width - k + 1) // 2
+    out = np.zeros(len(segments), bool)
+    for start, end in ((at - half, at), (at + k, at + k + half)):
+        there = np.flatnonzero((start >= first) & (end <= first + sizes))
+        key = range_hashes(data, start[there], end[there], 1) ^ (anchors[there].view(np.uint64) * np.uint64(SEED))
+        _, index, count = np.unique(key, return_inverse=True, return_counts=True)
+        out[there] |= count[index] > 1
+    return out
+
+
 def short_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of 48 bits of data[s:e]; keys of a segment have two, its anchor's and its own."""
     return (range_hashes(data, starts, ends) & np.uint64((1 << 48) - 1)).view(np.int64)
@@ -246,7 +269,8 @@ def remove_repeats(docs: DataFrame, width: int = 50, k: int = 20, shard_bytes: i
     A byte goes if a string of `width` bytes over it also starts in a document with a smaller id.
     Every such string, a window, has an anchor, the same in each of its copies. The windows of an
     anchor that several documents have are a segment of the text; equal ones are merged, with their
-    least id, before they move. Segments of an anchor meet in a shard; its suffix array, by induced
+    least id, before they move. Segments of an anchor meet in a shard, those that have half of a
+    window's other bytes beside the anchor in common with another one; its suffix array, by induced
     sorting, and its permuted common prefixes put equal windows side by side, and each run of those
     gives the least id. Shards are cut at `shard_bytes` between anchors. Anchors with many different
     segments in a sample, one in `one_in` rows, at least `hot` of its rows, have their windows dealt
@@ -305,7 +329,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, k: int = 20, shard_bytes: i
                 for h, i, s, e in zip(key.tolist(), ids.tolist(), start.tolist(), (start + count + width - 1).tolist()):
                     have = least.setdefault((h, raw[s:e]), [i, i])
                     have[0], have[1] = min(have[0], i), max(have[1], i)
-                if len(least) > 200_000:
+                if len(least) > 400_000:
                     yield rows()
         yield rows()
 
@@ -319,7 +343,8 @@ def remove_repeats(docs: DataFrame, width: int = 50, k: int = 20, shard_bytes: i
 
     def sort_shards(batches):
         have: list[tuple[int, bytes, int, bool]] = []  # segments of anchors in several contexts
-        alone: list[tuple[int, bytes, int, bool]] = []  # those of anchors in one, whose windows have its least id
+        ready: list[tuple[int, bytes, int, bool]] = []  # those of them that may share a window with another
+        alone: list[tuple[int, bytes, int, bool]] = []  # the others, and those of anchors in one context, whose windows have its least id
         own: dict[bytes, list] = {}
         size, last = 0, None
 
@@ -329,17 +354,25 @@ def remove_repeats(docs: DataFrame, width: int = 50, k: int = 20, shard_bytes: i
             own.clear()
             return sum(len(x[1]) + 1 for x in rows) if len(rows) > 1 else 0
 
+        def sifted() -> int:
+            """Deals `have` out to `ready` and `alone`; the bytes of what is ready."""
+            if have:
+                for row, meets in zip(have, meeting([r[1] for r in have], np.array([r[0] for r in have], np.int64), width, k).tolist()):
+                    (ready if meets else alone).append(row)
+                have.clear()
+            return sum(len(r[1]) + 1 for r in ready)
+
         def done():
-            h, segs, lo, more = (list(c) for c in zip(*have, *alone)) if have or alone else ([], [], [], [])
+            h, segs, lo, more = (list(c) for c in zip(*ready, *alone)) if ready or alone else ([], [], [], [])
             lo, more = np.array(lo, np.int64), np.array(more, bool)
             bits = np.zeros(len(h), np.int64)
-            if have:
-                bits[: len(have)] = earlier_windows(segs[: len(have)], lo[: len(have)], width)
+            if ready:
+                bits[: len(ready)] = earlier_windows(segs[: len(ready)], lo[: len(ready)], width)
             some = np.flatnonzero((bits != 0) | more)
             length = np.array([len(segs[x]) for x in some], np.int64)
             joined, ends = np.frombuffer(b"".join(segs[x] for x in some), np.uint8), np.cumsum(length)
             g = short_hashes(joined, ends - length, ends)
-            have.clear(), alone.clear()
+            ready.clear(), alone.clear()
             columns = (np.array(h, np.int64)[some], g, lo[some], bits[some])
             return batch(dict(zip(("key", "g", "lo", "bits"), zip(columns, [pa.int64()] * 4))))
 
@@ -348,12 +381,14 @@ def remove_repeats(docs: DataFrame, width: int = 50, k: int = 20, shard_bytes: i
                 if h != last:
                     size += close()
                     if size >= shard_bytes or len(alone) > 50_000:
-                        yield done()
                         size = 0
+                        if sifted() >= shard_bytes or len(alone) > 50_000:
+                            yield done()
                     last = h
                 known = own.setdefault(seg, [lo, more])
                 known[0], known[1] = min(known[0], lo), known[1] or more or known[0] != lo
         close()
+        sifted()
         yield done()
 
     seg = both.mapInArrow(texts, "key bigint, seg binary, lo bigint, more boolean")
