@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 
 import numpy as np
@@ -49,6 +50,15 @@ def batch(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], list(columns))
 
 
+def sweep(df: DataFrame) -> None:
+    """Lets Spark delete shuffle files of plans that are done: it does so when the driver collects garbage.
+
+    Called after a cut, whose rows no longer need the shuffles before it. Files in use stay.
+    """
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def packed(df: DataFrame, rows: int = 100_000) -> tuple[DataFrame, int]:
     """cut(df), read back by as many tasks as its rows need, and the number of its rows."""
     out = cut(df)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import NO_ID, WORD, batch, cut, fresh, mix, packed, shingle_hashes, words_of
+from pageloom.llm.common import NO_ID, WORD, batch, cut, fresh, mix, packed, shingle_hashes, sweep, words_of
 from pageloom.llm.fingerprints import labelled
 
 #: Bands of one sketch over shingles of SHINGLE words; texts of up to SHORT words have SHORT_BANDS more
@@ -391,15 +391,19 @@ def classes(docs: DataFrame, similarity: float = 0.8, leaf: int = 4096) -> DataF
     d = d.select("id", F.xxhash64("text").alias("node"), "text")
     sig = cut(d.mapInArrow(_sign, "id bigint, node bigint, n bigint, counts binary, keys array<bigint>"))
     cand = _buckets(sig.select(F.explode("keys").alias("key"), "node"), leaf)
+    sweep(cand)
     need = cand.select("node").distinct()
     known = sig.where(F.size("keys") > 0).select("node", "n", "counts").join(need, "node").groupBy("node")
     known, _ = packed(known.agg(F.first("n").alias("n"), F.first("counts").alias("counts")))
     texts = d.select("node", "text").mapInArrow(_first_texts, "node bigint, text string")
     texts = texts.join(known.select("node"), "node").groupBy("node").agg(F.first("text").alias("text"))
     seqs = cut(texts.mapInArrow(_sequences, "node bigint, seq binary"))
+    del texts
+    sweep(seqs)
     labels = _merged(known.select("node", F.col("node").alias("label")), _star(cand, None, known, seqs, far))
     # what joins the largest class of its bucket is not held against all other classes one by one
     for largest in (True, False):
+        sweep(labels)
         labels = _merged(labels, _across(cand, labels, known, seqs, far, largest))
     labels = _merged(labels, _large(cand, labels, known, seqs, far, leaf))
     return sig.select("id", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
