@@ -6,10 +6,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm.common import SEED, mix, range_hashes
+from pageloom.operators.cursor import ordinals
 
 SKETCHES, TAKE, K = 64, 2, 9
 
@@ -75,20 +76,17 @@ def edited(text: str, other: str) -> str:
 def with_next(docs: DataFrame, width: int = 256, broadcast_rows: int = 2_000_000) -> DataFrame:
     """Rows (block, halo, doc_id, text), each block with the row that follows it in descending doc_id.
 
-    A block is a range of `width` ids, so it is bounded however many documents there are; ids in
-    order are found by the first id of each block, then of each range of 4096 blocks, and no text
-    moves for that. A null id counts as the least.
+    A block is a range of `width` ids; rows that repeat an id, and those without one, share a block. The
+    block that follows is that of the next place in the order of blocks, which is found without
+    sorting them in one task, and no text moves for that. A null id counts as the least.
     """
     least = -(1 << 62)
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     d = d.withColumn("key", F.coalesce(F.col("doc_id"), F.lit(least))).withColumn("block", F.floor(F.col("key") / width).cast("bigint"))
-    blocks = d.groupBy("block").agg(F.max("key").alias("head")).withColumn("range", F.floor(F.col("block") / 4096))
-    down = Window.partitionBy("range").orderBy(F.desc("block"))
-    blocks = blocks.withColumn("to", F.lag("block").over(down))
-    ranges = blocks.groupBy("range").agg(F.min("block").alias("last"))
-    one = Window.orderBy(F.desc("range"))  # one row for each 4096 blocks
-    ranges = ranges.withColumn("above", F.lag("last").over(one)).withColumn("end", F.min("last").over(Window.partitionBy(F.lit(1))))
-    heads = blocks.join(ranges.select("range", "above", "end"), "range").select(F.col("head").alias("key"), F.coalesce("to", "above", "end").alias("to"))
+    blocks = ordinals(d.groupBy("block").agg(F.max("key").alias("head")), F.desc("block"), name="place")
+    before = blocks.select((F.col("place") + 1).alias("place"), F.col("block").alias("to"))
+    last = blocks.agg(F.min("block")).first()[0]
+    heads = blocks.join(before, "place", "left").select(F.col("head").alias("key"), F.coalesce("to", F.lit(last)).alias("to"))
     if heads.count() <= broadcast_rows:
         heads = F.broadcast(heads)
     halo = d.join(heads, "key").select(F.col("to").alias("block"), F.lit(1).alias("halo"), "doc_id", "text")
@@ -99,7 +97,9 @@ def fingerprints(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     Null text counts as empty. Rows that repeat an id follow one another by text. A table of one row
-    is its own next document. Texts move once, by block of ids.
+    is its own next document; an empty one gives no row. Texts move once, by block of ids; columns
+    other than doc_id and text don't matter. The sketches share one pool of k-mers, each of which falls
+    into one sketch by its hash, so a text is hashed once.
     """
     n = partitions or max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = with_next(docs).repartition(n, "block").sortWithinPartitions("block", "halo", F.col("doc_id").desc_nulls_last(), "text")
