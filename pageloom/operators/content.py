@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.functions import fitting
+from pageloom.operators.joins import translated
 from pageloom.operators.layout import PAGE, reading_order, split_pages, text_blocks
 from pageloom.operators.scan import segmented_scan
 
@@ -154,6 +155,14 @@ def drawn(blocks: DataFrame, fit: fitting.Fit = fitting.Fit(), keep_images: bool
     return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
+def translated_pages(blocks: DataFrame, dictionary: DataFrame, fit: fitting.Fit = fitting.Fit(), keep_images: bool = True) -> DataFrame:
+    """drawn() of blocks whose texts the dictionary (source, target) translates: a page in another language.
+
+    A text without a translation is drawn as it is. Boxes stay, so a longer text gets a smaller size.
+    """
+    return drawn(translated(blocks, dictionary), fit, keep_images)
+
+
 def report(elements: DataFrame, blocks: DataFrame) -> DataFrame:
     """Counts by page, by document (page_num null) and over all (both null).
 

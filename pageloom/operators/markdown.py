@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pageloom.operators.scan import segmented_scan
@@ -25,6 +25,11 @@ class Style(NamedTuple):
 SLIDES = Style((48.0, 36.0, 28.0, 24.0, 20.0, 18.0), 18.0, 1.3, 18.0, 50.0, 540.0)
 
 
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """path and text of each Markdown file of a folder or glob, one row a file, for nodes() with the key path."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
 def inline_text(text: Column) -> Column:
     """Text without marks of emphasis, links and images; code spans go with what they hold."""
     for pattern, kept in ((r"`+[^`]*`+", ""), (r"!?\[([^\]]*)\]\([^)]*\)", "$1"), (r"(\*\*\*|\*\*|\*)(?=\S)(.+?)(?<=\S)\1", "$2"), (r"\b(__|_)(?=\S)(.+?)(?<=\S)\1\b", "$2"), (r"\\([\\`*_{}\[\]()#+.!-])", "$1")):

@@ -50,6 +50,14 @@ def _drawn(spark, d):
     return C.drawn(_boxes(spark, d), fitting.Fit(most=14.0, least=4.0, padding=1.0, align="center"))
 
 
+def _translated_pages(spark, d):
+    """Pages drawn with the texts of every block of an even number of bytes in a made-up, longer language."""
+    b = _boxes(spark, d)
+    texts = b.where("block_type = 'text' and octet_length(text) % 2 = 0").select("text").distinct()
+    words = texts.select(F.col("text").alias("source"), F.concat_ws(" ", "text", "text").alias("target"))
+    return C.translated_pages(b, words, fitting.Fit(most=14.0, least=4.0, padding=1.0, align="right"), keep_images=False).drop("width", "height", "kind")
+
+
 def _sizes(spark, d, **fits):
     return table(spark, d, "documents").select("doc_id", *[fitting.fitted_size("text", "400D", "600D", f).alias(n) for n, f in fits.items()])
 
@@ -79,6 +87,7 @@ def queries():
         "content_overlaps": lambda s, d: L.overlaps(_content(s, d), page=L.PAGE),
         "fit_content": _fitted,
         "drawn_lines": _drawn,
+        "translated_pages": _translated_pages,
         "fitted_sizes": lambda s, d: _sizes(s, d, size=fitting.Fit(grow=True)),
         "shrunk_sizes": lambda s, d: _sizes(s, d, shrunk=fitting.Fit(), kept=fitting.Fit(shrink=False)),
         "split_stream": lambda s, d: C.split_stream(_content(s, d)).select(*L.PAGE, "block_seq", "out_page", "y"),
@@ -129,10 +138,18 @@ SELECT k, i + 1, CASE WHEN fits THEN {kept} ELSE lo END, CASE WHEN fits THEN hi
 fitted AS (SELECT box.k, b.best FROM box LEFT JOIN (SELECT k, arg_max(best, i) AS best FROM bis WHERE best IS NOT NULL GROUP BY k) b ON b.k = box.k)"""
 
 
-#: The boxes of fit_content and drawn_lines, keyed by page and block.
-_BOXES = "bx AS (SELECT * REPLACE (CASE WHEN block_type = 'text' THEN height / 4 + 8 ELSE height END AS height), {'d': doc_id, 'p': page_num, 'b': block_seq} AS k FROM cb), tx AS (SELECT * FROM bx WHERE block_type = 'text')"
+def _box_ctes(text: str) -> str:
+    """bx and tx, the boxes of fitted and drawn texts and the text blocks among them, keyed by page and block, with a text of their own."""
+    return f"""bx AS (SELECT * REPLACE (CASE WHEN block_type = 'text' THEN height / 4 + 8 ELSE height END AS height, {text} AS text), {{'d': doc_id, 'p': page_num, 'b': block_seq}} AS k FROM cb),
+tx AS (SELECT * FROM bx WHERE block_type = 'text')"""
 
-_FOLDED = """list_reduce(list_filter(regexp_split_to_array(q, '\\s+'), lambda w: w <> ''), lambda a, w: CASE WHEN strlen(regexp_extract(a, '[^\\n]*$') || ' ' || w) * (best * CAST(0.6 AS DOUBLE)) <= wide THEN a || ' ' || w ELSE a || chr(10) || w END)"""
+
+#: Up to q, text blocks with the size that fits, and li, their lines.
+_LINES = r"""q AS (SELECT ro.k, ro.doc_id, ro.page_num, ro.rank, ro.x, ro.y, ro.width, ro.height, ro.font_size, ro.text, best, ro.width - 2 AS wide FROM ro JOIN fitted ON fitted.k = ro.k),
+pa AS (SELECT k, i, CASE WHEN q = '' THEN '' ELSE list_reduce(list_filter(regexp_split_to_array(q, '\s+'), lambda w: w <> ''), lambda a, w: CASE WHEN strlen(regexp_extract(a, '[^\n]*$') || ' ' || w) * (best * CAST(0.6 AS DOUBLE)) <= wide THEN a || ' ' || w ELSE a || chr(10) || w END) END AS folded
+ FROM (SELECT k, best, wide, unnest(string_split(text, chr(10))) AS q, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM q WHERE best IS NOT NULL)),
+ln AS (SELECT k, string_split(string_agg(folded, chr(10) ORDER BY i), chr(10)) AS l FROM pa WHERE folded IS NOT NULL GROUP BY k),
+li AS (SELECT k, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM ln)"""
 
 
 def oracle_sql():
@@ -157,17 +174,16 @@ SELECT st.doc_id, run, arg_min(page_num, st.stream_seq) AS page_num, arg_min(blo
 SELECT o2.doc_id, o2.page_num, o2.block_seq, o2.rank, CASE WHEN o2.y + o2.height > f.new_y - 10.0 THEN f.new_y - 10.0 - o2.height ELSE o2.y END FROM f JOIN o2 ON o2.doc_id = f.doc_id AND o2.page_num = f.page_num AND o2.rank = f.rank + 1) SELECT * FROM f""",
         "content_overlaps": f"""WITH {_CONTENT}, {rank}, p AS (SELECT a.doc_id, a.page_num, a.block_seq AS left_block, b.block_seq AS right_block, least(a.x + a.width, b.x + b.width) - greatest(a.x, b.x) AS w, least(a.y + a.height, b.y + b.height) - greatest(a.y, b.y) AS h
  FROM ro a JOIN ro b ON a.doc_id = b.doc_id AND a.page_num = b.page_num AND a.rank < b.rank) SELECT doc_id, page_num, left_block, right_block, w * h AS area FROM p WHERE w > 0 AND h > 0""",
-        "fit_content": f"""WITH RECURSIVE {_CONTENT}, {_BOXES}, {_bisection("tx", "6", "font_size", "1.2", "0", True, False)},
+        "fit_content": f"""WITH RECURSIVE {_CONTENT}, {_box_ctes("text")}, {_bisection("tx", "6", "font_size", "1.2", "0", True, False)},
 now AS (SELECT box.k, list_sum(list_transform(paras, lambda p: CASE WHEN p.blank THEN 1 ELSE list_reduce(p.sizes, lambda a, e: CASE WHEN a.n > 0 AND (a.w + 1 + e.w) * (most * CAST(0.6 AS DOUBLE)) <= wide THEN {{'n': a.n, 'w': a.w + 1 + e.w}} ELSE {{'n': a.n + 1, 'w': e.w}} END, {{'n': 0, 'w': 0}}).n END)) * (most * CAST(1.2 AS DOUBLE)) > high AS over FROM box)
 SELECT doc_id, page_num, block_seq, block_type, CASE WHEN over AND text <> '' THEN least(coalesce(best, font_size), font_size) ELSE font_size END AS font_size FROM bx LEFT JOIN fitted ON fitted.k = bx.k LEFT JOIN now ON now.k = bx.k""",
-        "drawn_lines": f"""WITH RECURSIVE {_CONTENT}, {_BOXES}, {_ranked("bx")}, {_bisection("tx", "4", "14", "1.2", "1", True, False)},
-q AS (SELECT ro.k, ro.doc_id, ro.page_num, ro.rank, ro.x, ro.y, ro.width, ro.height, ro.font_size, ro.text, best, ro.width - 2 AS wide FROM ro JOIN fitted ON fitted.k = ro.k),
-pa AS (SELECT k, i, CASE WHEN q = '' THEN '' ELSE {_FOLDED} END AS folded FROM (SELECT k, best, wide, unnest(string_split(text, chr(10))) AS q, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM q WHERE best IS NOT NULL)),
-ln AS (SELECT k, string_split(string_agg(folded, chr(10) ORDER BY i), chr(10)) AS l FROM pa WHERE folded IS NOT NULL GROUP BY k),
-li AS (SELECT k, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM ln)
+        "drawn_lines": f"""WITH RECURSIVE {_CONTENT}, {_box_ctes("text")}, {_ranked("bx")}, {_bisection("tx", "4", "14", "1.2", "1", True, False)}, {_LINES}
 SELECT doc_id, page_num, rank, CAST(n AS INT) AS line_no, 'text' AS kind, line AS text, x + (width - strlen(line) * (best * CAST(0.6 AS DOUBLE))) / 2 AS x, y + height - best * CAST(1.2 AS DOUBLE) * n AS y, best AS size, CAST(NULL AS DOUBLE) AS width, CAST(NULL AS DOUBLE) AS height FROM q JOIN li ON li.k = q.k WHERE line <> ''
 UNION ALL SELECT doc_id, page_num, rank, 1, 'text', text, x, y, font_size, NULL, NULL FROM q WHERE best IS NULL
 UNION ALL SELECT doc_id, page_num, rank, 1, 'image', NULL, x, y, NULL, width, height FROM ro WHERE block_type = 'image'""",
+        "translated_pages": f"""WITH RECURSIVE {_CONTENT}, {_box_ctes(f"CASE WHEN block_type = 'text' AND strlen(text) % 2 = 0 THEN text || ' ' || text ELSE text END")}, {_ranked("bx")}, {_bisection("tx", "4", "14", "1.2", "1", True, False)}, {_LINES}
+SELECT doc_id, page_num, rank, CAST(n AS INT) AS line_no, line AS text, x + (width - strlen(line) * (best * CAST(0.6 AS DOUBLE))) AS x, y + height - best * CAST(1.2 AS DOUBLE) * n AS y, best AS size FROM q JOIN li ON li.k = q.k WHERE line <> ''
+UNION ALL SELECT doc_id, page_num, rank, 1, text, x, y, font_size FROM q WHERE best IS NULL""",
         "fitted_sizes": f"SELECT k AS doc_id, best AS size FROM ({each['size']})",
         "shrunk_sizes": f"SELECT b.k AS doc_id, b.best AS shrunk, c.best AS kept FROM ({each['shrunk']}) b JOIN ({each['kept']}) c ON c.k = b.k",
         "split_stream": f"""WITH RECURSIVE {_CONTENT}, sn AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_num, block_seq) AS INT) AS n FROM cb),
