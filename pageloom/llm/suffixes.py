@@ -17,6 +17,8 @@ SEPARATOR = 0xFF  # never a byte of UTF-8
 #: Alphabets up to this size are induced a bucket at a time, by array operations; larger ones, the names
 #: of deeper levels, whose buckets hold few suffixes, a suffix at a time.
 WIDEST = 2048
+#: Bytes of a window that segments need not share to be sorted together.
+STRIDE = 5
 #: Texts whose windows are found together.
 TEXTS = 100
 
@@ -189,19 +191,20 @@ def earlier_windows(segments: list[bytes], ids: np.ndarray, width: int) -> list[
 def meeting(segments: list[bytes], anchors: np.ndarray, width: int, k: int) -> np.ndarray:
     """Whether a segment may share a window with another segment of its anchor.
 
-    A window holds its anchor and width - k bytes around it, so at least half of them stand on one
-    side: two segments that share a window have equal bytes there, on the left of their anchors or on the right.
-    The anchor is the first least k-gram of a segment's first window. Segments shorter than that,
-    single windows, meet if they are equal.
+    A window has its anchor and width - k bytes around it, some number on the left. With that number
+    rounded down to a multiple of STRIDE, all but STRIDE of those bytes are in one of few places
+    around the anchor: two segments that share a window have equal bytes in one of them. The anchor
+    is the first least k-gram of a segment's first window.
     """
     sizes = np.array([len(s) for s in segments])
     data = np.frombuffer(b"".join(segments), np.uint8)
     first = np.cumsum(sizes) - sizes
     h = sliding_hashes(data, k) & np.uint64((1 << 48) - 1)
     at = first + h[first[:, None] + np.arange(width - k + 1)].argmin(1)
-    half = (width - k + 1) // 2
+    around = max(0, width - k - STRIDE)
     out = np.zeros(len(segments), bool)
-    for start, end in ((at - half, at), (at + k, at + k + half)):
+    for left in range(0, width - k + 1, STRIDE):
+        start, end = at - min(left, around), at + k + around - min(left, around)
         there = np.flatnonzero((start >= first) & (end <= first + sizes))
         key = range_hashes(data, start[there], end[there], 1) ^ (anchors[there].view(np.uint64) * np.uint64(SEED))
         _, index, count = np.unique(key, return_inverse=True, return_counts=True)
@@ -269,9 +272,8 @@ def remove_repeats(docs: DataFrame, width: int = 50, k: int = 20, shard_bytes: i
     A byte goes if a string of `width` bytes over it also starts in a document with a smaller id.
     Every such string, a window, has an anchor, the same in each of its copies. The windows of an
     anchor that several documents have are a segment of the text; equal ones are merged, with their
-    least id, before they move. Segments of an anchor meet in a shard, those that have half of a
-    window's other bytes beside the anchor in common with another one; its suffix array, by induced
-    sorting, and its permuted common prefixes put equal windows side by side, and each run of those
+    least id, before they move. Segments of an anchor meet in a shard, those that have nearly all of
+    a window in common with another one; its suffix array, by induced sorting, and its permuted common prefixes put equal windows side by side, and each run of those
     gives the least id. Shards are cut at `shard_bytes` between anchors. Anchors with many different
     segments in a sample, one in `one_in` rows, at least `hot` of its rows, have their windows dealt
     out one by one; a shard's memory is bounded by that and the contexts of one other anchor.
