@@ -8,7 +8,7 @@ from pageloom.functions import text as T
 from pageloom.functions import values as V
 from pageloom.operators import layout as L
 from pageloom.plans import contents, marks
-from pageloom.plans.tables import BLOCKS, ELEMENTS, LINES, ORDER, TEXT_BLOCK, text_block_ctes
+from pageloom.plans.tables import ANCHORED, BLOCKS, ELEMENTS, LINES, ORDER, TEXT_BLOCK, merged_run_ctes, text_block_ctes
 from pageloom.sources import pdf, pdfsink
 from pageloom.sources.derived import blocks, elements, images, table
 
@@ -140,12 +140,9 @@ def queries():
 
 def _more_sql(sql):
     """SQL of the queries that build on that of others."""
-    anchored = sql["anchored_lines"].split("SELECT doc_id, page_num, CAST(max(n)")[0].replace("s AS MATERIALIZED (SELECT doc_id,", "s AS MATERIALIZED (SELECT elem_seq, x, text, doc_id,")
-    ranked = anchored.rstrip() + """, z AS (SELECT s.doc_id, s.page_num, s.elem_seq, s.text, s.y, s.size, CAST(f.n AS INT) AS line_no, CAST(row_number() OVER (PARTITION BY s.doc_id, s.page_num ORDER BY f.n, s.x, s.elem_seq) AS INT) AS rank
+    ranked = f"""WITH RECURSIVE {ELEMENTS}, {ANCHORED}, z AS (SELECT s.doc_id, s.page_num, s.elem_seq, s.text, s.y, s.size, CAST(f.n AS INT) AS line_no, CAST(row_number() OVER (PARTITION BY s.doc_id, s.page_num ORDER BY f.n, s.x, s.elem_seq) AS INT) AS rank
  FROM s JOIN f ON s.doc_id = f.doc_id AND s.page_num = f.page_num AND s.k = f.k)"""
-    merge = sql["merge_across_pages"].replace("CAST(page_id % 10 AS INT) AS page_num FROM blocks", "CAST(page_id % 10 AS INT) AS page_num, 'b' || CAST(block_seq AS VARCHAR) AS text, CASE WHEN page_id % 3 = 0 THEN 'red' ELSE 'black' END AS color FROM blocks")
-    merge = merge.replace("OR lag(font) OVER w IS NULL THEN 1", "OR lag(font) OVER w IS NULL OR color <> lag(color) OVER w THEN 1")
-    merge = merge.split("SELECT doc_id, island, page_num, block_seq, run FROM f")[0]
+    merge = f"WITH RECURSIVE {BLOCKS}, {merged_run_ctes(True)}"
     place = "block_type = '{}' AND row_number() OVER (PARTITION BY page_id, block_type ORDER BY block_seq) = {}"
     moved, sized = place.format("text", 2), place.format("image", 1)
     curves = [((0, 1), (1, 0)), ((-1, 0), (0, 1)), ((0, -1), (-1, 0)), ((1, 0), (0, -1))]
@@ -175,7 +172,6 @@ SELECT item_id, lines, CAST(len(string_split(lines, chr(10))) AS INT) AS n_lines
 
 def oracle_sql():
     bits = " | ".join(f"(CASE WHEN block_seq % {i + 2} = 0 THEN {1 << b} ELSE 0 END)" for i, b in enumerate(T.PERMISSION_BITS.values()))
-    fold = ORDER.replace("blocks AS", "blocks AS", 1)
     sql = {
         "elements": f"WITH {ELEMENTS} SELECT * FROM elements",
         "pdf_elements": f"WITH {ELEMENTS} SELECT * REPLACE (CAST(elem_seq % 100 AS INT) AS elem_seq) FROM elements",
@@ -183,9 +179,7 @@ def oracle_sql():
         "chained_lines": f"WITH {LINES} SELECT * EXCLUDE (sum_size) FROM lines",
         "text_blocks": f"WITH {text_block_ctes(True)} {TEXT_BLOCK}",
         "text_blocks_without_images": f"WITH {text_block_ctes(False)} {TEXT_BLOCK}",
-        "anchored_lines": f"""WITH RECURSIVE {ELEMENTS}, s AS MATERIALIZED (SELECT doc_id, page_num, y, size, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY y DESC, x, elem_seq) AS k FROM elements),
-f AS (SELECT doc_id, page_num, k, 1 AS n, y, size FROM s WHERE k = 1 UNION ALL SELECT s.doc_id, s.page_num, s.k, CASE WHEN abs(s.y - f.y) <= 0.5 * f.size THEN f.n ELSE f.n + 1 END, CASE WHEN abs(s.y - f.y) <= 0.5 * f.size THEN f.y ELSE s.y END, CASE WHEN abs(s.y - f.y) <= 0.5 * f.size THEN f.size ELSE s.size END FROM f JOIN s ON s.doc_id = f.doc_id AND s.page_num = f.page_num AND s.k = f.k + 1)
-SELECT doc_id, page_num, CAST(max(n) AS INT) AS n_lines FROM f GROUP BY ALL""",
+        "anchored_lines": f"WITH RECURSIVE {ELEMENTS}, {ANCHORED} SELECT doc_id, page_num, CAST(max(n) AS INT) AS n_lines FROM f GROUP BY ALL",
         "page_text": f"WITH {ELEMENTS} SELECT doc_id, page_num, string_agg(text, ' ' ORDER BY elem_seq) AS text FROM elements GROUP BY ALL",
         "document_text": f"WITH {ELEMENTS}, p AS (SELECT doc_id, page_num, string_agg(text, ' ' ORDER BY elem_seq) AS text FROM elements GROUP BY ALL) SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY page_num) AS text FROM p GROUP BY ALL",
         "reading_order": f"WITH {ORDER} SELECT * FROM o",
@@ -194,16 +188,11 @@ SELECT page_id, left_block, right_block, w * h AS area FROM p WHERE w > 0 AND h
         "compact": f"WITH {ORDER} SELECT page_id, block_seq, rank, 822.0 - sum(height) OVER (PARTITION BY page_id ORDER BY rank ROWS UNBOUNDED PRECEDING) - (rank - 1) * CAST(10 AS DOUBLE) AS new_y FROM o",
         "even_spacing": f"""WITH {ORDER}, q AS (SELECT *, 802.0 - sum(height) OVER (PARTITION BY page_id) AS free, count(*) OVER (PARTITION BY page_id) AS n FROM o)
 SELECT page_id, block_seq, rank, 822.0 - sum(height) OVER (PARTITION BY page_id ORDER BY rank ROWS UNBOUNDED PRECEDING) - (rank - 1) * (CASE WHEN free < 0 THEN CAST(10 AS DOUBLE) ELSE greatest(free / greatest(n - 1, 1), CAST(10 AS DOUBLE)) END) AS new_y FROM q""",
-        "flow_down": f"""WITH RECURSIVE {fold}, o2 AS MATERIALIZED (SELECT page_id, block_seq, rank, y, height FROM o), f AS (SELECT page_id, block_seq, rank, y AS new_y FROM o2 WHERE rank = 1 UNION ALL
+        "flow_down": f"""WITH RECURSIVE {ORDER}, o2 AS MATERIALIZED (SELECT page_id, block_seq, rank, y, height FROM o), f AS (SELECT page_id, block_seq, rank, y AS new_y FROM o2 WHERE rank = 1 UNION ALL
 SELECT o2.page_id, o2.block_seq, o2.rank, CASE WHEN o2.y + o2.height > f.new_y - 10.0 THEN f.new_y - 10.0 - o2.height ELSE o2.y END FROM f JOIN o2 ON o2.page_id = f.page_id AND o2.rank = f.rank + 1) SELECT page_id, block_seq, rank, new_y FROM f""",
-        "split_pages": f"""WITH RECURSIVE {fold}, o2 AS MATERIALIZED (SELECT page_id, block_seq, rank, height FROM o), f AS (SELECT page_id, block_seq, rank, 0 AS out_page, CAST(822.0 AS DOUBLE) - height AS new_y FROM o2 WHERE rank = 1 UNION ALL
+        "split_pages": f"""WITH RECURSIVE {ORDER}, o2 AS MATERIALIZED (SELECT page_id, block_seq, rank, height FROM o), f AS (SELECT page_id, block_seq, rank, 0 AS out_page, CAST(822.0 AS DOUBLE) - height AS new_y FROM o2 WHERE rank = 1 UNION ALL
 SELECT o2.page_id, o2.block_seq, o2.rank, CASE WHEN f.new_y - 10.0 - o2.height < 20.0 THEN f.out_page + 1 ELSE f.out_page END, CASE WHEN f.new_y - 10.0 - o2.height < 20.0 THEN CAST(822.0 AS DOUBLE) ELSE f.new_y - 10.0 END - o2.height FROM f JOIN o2 ON o2.page_id = f.page_id AND o2.rank = f.rank + 1) SELECT page_id, block_seq, out_page, new_y FROM f""",
-        "merge_across_pages": f"""WITH RECURSIVE {BLOCKS}, d AS (SELECT *, CAST(page_id // 10 AS BIGINT) AS doc_id, CAST(page_id % 10 AS INT) AS page_num FROM blocks),
-c AS (SELECT *, CASE WHEN block_type = 'image' OR block_type <> lag(block_type) OVER w OR font <> lag(font) OVER w OR lag(font) OVER w IS NULL THEN 1 ELSE 0 END AS brk FROM d WINDOW w AS (PARTITION BY doc_id ORDER BY page_num, block_seq)),
-i AS (SELECT *, CAST(sum(brk) OVER (PARTITION BY doc_id ORDER BY page_num, block_seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM c),
-k AS MATERIALIZED (SELECT doc_id, island, page_num, block_seq, font_size, row_number() OVER (PARTITION BY doc_id, island ORDER BY page_num, block_seq) AS k FROM i),
-f AS (SELECT doc_id, island, page_num, block_seq, k, 1 AS run, font_size AS base FROM k WHERE k = 1 UNION ALL SELECT k.doc_id, k.island, k.page_num, k.block_seq, k.k, CASE WHEN abs(k.font_size - f.base) <= 1 THEN f.run ELSE f.run + 1 END, CASE WHEN abs(k.font_size - f.base) <= 1 THEN f.base ELSE k.font_size END FROM f JOIN k ON k.doc_id = f.doc_id AND k.island = f.island AND k.k = f.k + 1)
-SELECT doc_id, island, page_num, block_seq, run FROM f""",
+        "merge_across_pages": f"WITH RECURSIVE {BLOCKS}, {merged_run_ctes(False)} SELECT doc_id, island, page_num, block_seq, run FROM f",
         "dates": """WITH o AS (SELECT o_orderkey, o_orderdate, CAST((o_orderkey % 25 - 12) * 60 + o_orderkey % 2 * 30 AS INT) AS offset_minutes FROM orders)
 SELECT o_orderkey, 'D:' || strftime(o_orderdate, '%Y%m%d%H%M%S') || CASE WHEN offset_minutes < 0 THEN '-' ELSE '+' END || lpad(CAST(abs(offset_minutes) // 60 AS VARCHAR), 2, '0') || chr(39) || lpad(CAST(abs(offset_minutes) % 60 AS VARCHAR), 2, '0') || chr(39) AS formatted,
  strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS parsed, offset_minutes FROM o""",

@@ -33,3 +33,21 @@ l3 AS (SELECT *, CAST(sum(brk) OVER (PARTITION BY doc_id, page_num ORDER BY line
 
 TEXT_BLOCK = """SELECT doc_id, page_num, block_seq, min(min_x) AS x, min(min_y) AS y, max(max_x) - min(min_x) AS width, max(max_y) - min(min_y) AS height,
  sum(sum_size) / sum(n) AS font_size, arg_min(font, line_no) AS font, count(*) AS n_lines, string_agg(text, chr(10) ORDER BY line_no) AS text FROM l3 GROUP BY ALL"""
+#: Up to f, each element's line n, that of its first element's y and size; s has the elements in order k.
+ANCHORED = """s AS MATERIALIZED (SELECT doc_id, page_num, elem_seq, text, x, y, size, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY y DESC, x, elem_seq) AS k FROM elements),
+f AS (SELECT doc_id, page_num, k, 1 AS n, y, size FROM s WHERE k = 1 UNION ALL
+SELECT s.doc_id, s.page_num, s.k, CASE WHEN abs(s.y - f.y) <= 0.5 * f.size THEN f.n ELSE f.n + 1 END, CASE WHEN abs(s.y - f.y) <= 0.5 * f.size THEN f.y ELSE s.y END, CASE WHEN abs(s.y - f.y) <= 0.5 * f.size THEN f.size ELSE s.size END
+ FROM f JOIN s ON s.doc_id = f.doc_id AND s.page_num = f.page_num AND s.k = f.k + 1)"""
+
+
+def merged_run_ctes(styled: bool) -> str:
+    """Up to f, the run of each block of a document inside its island of one kind and font, and colour if styled."""
+    style = ", 'b' || CAST(block_seq AS VARCHAR) AS text, CASE WHEN page_id % 3 = 0 THEN 'red' ELSE 'black' END AS color" if styled else ""
+    other = " OR color <> lag(color) OVER w" if styled else ""
+    return f"""d AS (SELECT *, CAST(page_id // 10 AS BIGINT) AS doc_id, CAST(page_id % 10 AS INT) AS page_num{style} FROM blocks),
+c AS (SELECT *, CASE WHEN block_type = 'image' OR block_type <> lag(block_type) OVER w OR font <> lag(font) OVER w OR lag(font) OVER w IS NULL{other} THEN 1 ELSE 0 END AS brk FROM d WINDOW w AS (PARTITION BY doc_id ORDER BY page_num, block_seq)),
+i AS (SELECT *, CAST(sum(brk) OVER (PARTITION BY doc_id ORDER BY page_num, block_seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM c),
+k AS MATERIALIZED (SELECT doc_id, island, page_num, block_seq, font_size, row_number() OVER (PARTITION BY doc_id, island ORDER BY page_num, block_seq) AS k FROM i),
+f AS (SELECT doc_id, island, page_num, block_seq, k, 1 AS run, font_size AS base FROM k WHERE k = 1 UNION ALL
+SELECT k.doc_id, k.island, k.page_num, k.block_seq, k.k, CASE WHEN abs(k.font_size - f.base) <= 1 THEN f.run ELSE f.run + 1 END, CASE WHEN abs(k.font_size - f.base) <= 1 THEN f.base ELSE k.font_size END
+ FROM f JOIN k ON k.doc_id = f.doc_id AND k.island = f.island AND k.k = f.k + 1)"""
