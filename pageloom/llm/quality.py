@@ -13,6 +13,8 @@ TRIGRAMS = 4096
 #: Terms that a text has if at least this share of its words repeats the word before.
 REPEATS = np.linspace(0.03, 0.93, 31)
 BINS = TRIGRAMS + len(REPEATS)
+#: Rows that are weighted together in training.
+BLOCK = 512
 
 
 def histogram(text: str | None) -> np.ndarray:
@@ -36,16 +38,17 @@ class Model:
         self.neighbours, self.power, self.labels = neighbours, power, labels.astype(np.float32)
         counts = counts.reshape(-1, BINS)
         self.idf = (np.log((1 + len(counts)) / (1 + np.count_nonzero(counts, axis=0))) + 0.3).astype(np.float32)
-        x = self.weighted(counts)
+        # the counts are the only whole copy: weighted rows are made in blocks, again for each pass
+        parts = [slice(at, at + BLOCK) for at in range(0, len(counts), BLOCK)]
         self.basis = np.zeros((BINS, rank), np.float32)
-        if len(x):
+        if parts:
             rng = np.random.default_rng(0)
             q = rng.standard_normal((BINS, rank + 16)).astype(np.float32)
             for _ in range(6):  # subspace iteration for the leading right singular vectors
-                q, _r = np.linalg.qr(x.T @ (x @ q))
-            _, _, vt = np.linalg.svd(x @ q, full_matrices=False)
+                q, _r = np.linalg.qr(sum(x.T @ (x @ q) for x in (self.weighted(counts[p]) for p in parts)))
+            _, _, vt = np.linalg.svd(np.concatenate([self.weighted(counts[p]) @ q for p in parts]), full_matrices=False)
             self.basis = (q @ vt.T)[:, :rank].astype(np.float32)
-        self.vectors = self.project(x)
+        self.vectors = np.concatenate([np.zeros((0, rank), np.float32), *(self.project(self.weighted(counts[p])) for p in parts)])
 
     def weighted(self, counts: np.ndarray) -> np.ndarray:
         x = counts.astype(np.float32)  # the only copy; all that follows is in place
@@ -90,15 +93,17 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, **how) -
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(lab.select(F.col("doc_id").cast("bigint").alias("doc_id"), "q")), "doc_id")
     got = rows.select("doc_id", "q", "text").mapInArrow(count, "doc_id bigint, q int, c binary").toArrow()
     counts = np.empty((got.num_rows, BINS), np.uint16)
+    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
     at = 0
     for chunk in got.column("c").cast(pa.binary()).chunks:  # copied straight from the buffers, without an object a row
         first = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
-        counts[at : at + len(chunk)] = np.frombuffer(chunk.buffers()[2], np.uint8)[first[0] : first[-1]].view(np.uint16).reshape(-1, BINS)
+        counts[place[at : at + len(chunk)]] = np.frombuffer(chunk.buffers()[2], np.uint8)[first[0] : first[-1]].view(np.uint16).reshape(-1, BINS)
         at += len(chunk)
-    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
     q = got.column("q").to_numpy()[order]
     del got
-    return Model(counts[order], q, **how)
+    return Model(counts, q, **how)
 
 
 def score(docs: DataFrame, model: Model, block: int = 256) -> DataFrame:
