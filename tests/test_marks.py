@@ -144,3 +144,28 @@ def test_presets_and_fonts(spark):
     fonts = spark.createDataFrame([("Symbol",), ("Courier",), ("Arial",), (None,)], "n string").select(D.standard_font(F.col("n")).alias("f"), D.is_standard_font(F.col("n")).alias("ok"))
     assert [(r.f and r.f.encoding, r.ok) for r in fonts.collect()] == [("BuiltIn", True), ("WinAnsiEncoding", True), (None, False), (None, False)]
     assert spark.createDataFrame([("a b\té\n",), ("\x00​x",), ("",)], "t string").select(T.unprintable(F.col("t"))).collect() == [(0,), (2,), (0,)]
+
+
+def test_characters_are_never_rows(spark):
+    """Strings and rows stay where they are: no exchange has a row for each character."""
+    strings = spark.range(40).selectExpr("cast(id % 2 as string) as font", "id", "transform(sequence(1, 3000), i -> if(id % 3 = 0, null, cast(97 + (i + id) % 20 as bigint))) as codes")
+    chars = spark.createDataFrame([("0", 100, 233), ("1", 101, 0x1F600)], "font string, code bigint, char bigint")
+    ranges = spark.createDataFrame([("0", 1, 110, 112, 0x3041)], "font string, range_seq bigint, low bigint, high bigint, start bigint")
+    one = {(f, c): chr(c) for f in "01" for c in range(97, 117)} | {("0", 100): "é", ("1", 101): "\U0001f600"} | {("0", c): chr(0x3041 + c - 110) for c in (110, 111, 112)}
+    want = {i: "" if i % 3 == 0 else "".join(one[str(i % 2), 97 + (k + i) % 20] for k in range(1, 3001)) for i in range(40)}
+    for bound in (0, 1000):
+        out = joins.decoded(strings, chars, ranges, ["font"], ["id"], broadcast_rows=bound)
+        assert {r.id: r.text for r in out.collect()} == want
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_widths_of_few_and_many_advances(spark, monkeypatch):
+    rows = spark.createDataFrame([("abca", "F", 10.0, 1), ("a" * 1000, "G", 2.0, 2), ("aa", "F", None, 3), (None, "F", 1.0, 4), ("", "G", 1.0, 5), ("x", "H", 1.0, 6)], "text string, font string, size double, id int")
+    widths = spark.createDataFrame([("F", 97, 100.0), ("F", 97, 90.0), ("F", 98, None), ("G", 97, 1.0), (None, 97, 7.0)], "font string, code int, advance double")
+    got = []
+    for bound in (0, 1000):
+        monkeypatch.setattr(joins, "BROADCAST", bound)
+        out = joins.text_widths(rows, widths, default=500.0)
+        got.append(sorted((r.id, r.width) for r in out.collect()))
+    assert got[0] == got[1] == [(1, 12.0), (2, 2.0), (3, None), (4, None), (5, 0.0), (6, 0.5)]
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
