@@ -133,26 +133,21 @@ def drawn(blocks: DataFrame, fit: fitting.Fit = fitting.Fit(), keep_images: bool
     """
     if fit.align not in ("left", "center", "right"):
         raise ValueError(f"unsupported alignment: {fit.align}")
-    b = reading_order(blocks, PAGE)
-    out = []
-    if keep_layout:
-        texts = b.where(F.col("block_type") == TEXT).withColumn("text", F.coalesce("text", F.lit("")))
-        texts = texts.withColumn("fitted", fitting.fitted_size("text", "width", "height", fit))
-        rows = texts.withColumn("line", F.when(F.col("fitted").isNull(), F.array("text")).otherwise(fitting.lines("text", f"(width - {2 * fit.padding!r}D)", "fitted")))
-        rows = rows.select(*PAGE, "rank", "x", "y", "width", "height", "font_size", "fitted", F.posexplode("line").alias("i", "line"))
-        step, slack = F.col("fitted") * F.lit(fit.spacing), F.col("width") - F.octet_length("line") * (F.col("fitted") * F.lit(0.6))
-        x = F.col("x") + {"left": F.lit(0.0), "center": slack / 2, "right": slack}[fit.align]
-        known = F.col("fitted").isNotNull()
-        rows = rows.where(~known | (F.col("line") != "")).select(
-            *PAGE, "rank", (F.col("i") + 1).alias("line_no"), F.lit(TEXT).alias("kind"), F.col("line").alias("text"), F.when(known, x).otherwise(F.col("x")).alias("x"),
-            F.when(known, F.col("y") + F.col("height") - step * (F.col("i") + 1)).otherwise(F.col("y")).alias("y"), F.coalesce("fitted", "font_size").alias("size"), F.lit(None).cast("double").alias("width"), F.lit(None).cast("double").alias("height"),
-        )
-        out.append(rows)
-    if keep_images:
-        out.append(b.where(F.col("block_type") == IMAGE).select(*PAGE, "rank", F.lit(1).alias("line_no"), F.lit(IMAGE).alias("kind"), F.lit(None).cast("string").alias("text"), "x", "y", F.lit(None).cast("double").alias("size"), "width", "height"))
-    if not out:
+    kinds = [k for k, kept in ((TEXT, keep_layout), (IMAGE, keep_images)) if kept]
+    if not kinds:
         raise ValueError("nothing is kept: neither texts nor images")
-    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
+    b = reading_order(blocks.select(*PAGE, "block_seq", "block_type", "x", "y", "width", "height", "font_size", "text"), PAGE).where(F.col("block_type").isin(kinds))
+    is_text = F.col("block_type") == TEXT
+    b = b.withColumn("text", F.when(is_text, F.coalesce("text", F.lit("")))).withColumn("fits", fitting.fitted_lines("text", "width", "height", fit))
+    rows = b.select(*PAGE, "rank", "block_type", "x", "y", "width", "height", "font_size", F.col("fits.size").alias("fitted"), F.posexplode("fits.lines").alias("i", "line"))
+    step, slack = F.col("fitted") * F.lit(fit.spacing), F.col("width") - F.octet_length("line") * (F.col("fitted") * F.lit(0.6))
+    x = F.col("x") + {"left": F.lit(0.0), "center": slack / 2, "right": slack}[fit.align]
+    known = F.col("fitted").isNotNull()
+    return rows.where(~known | (F.col("line") != "")).select(
+        *PAGE, "rank", (F.col("i") + 1).alias("line_no"), F.col("block_type").alias("kind"), F.col("line").alias("text"), F.when(known, x).otherwise(F.col("x")).alias("x"),
+        F.when(known, F.col("y") + F.col("height") - step * (F.col("i") + 1)).otherwise(F.col("y")).alias("y"), F.when(is_text, F.coalesce("fitted", "font_size")).alias("size"),
+        F.when(~is_text, F.col("width")).alias("width"), F.when(~is_text, F.col("height")).alias("height"),
+    )
 
 
 def translated_pages(blocks: DataFrame, dictionary: DataFrame, fit: fitting.Fit = fitting.Fit(), keep_images: bool = True) -> DataFrame:
