@@ -41,6 +41,8 @@ def content_blocks(elements: DataFrame, images: DataFrame, pages: DataFrame) ->
     )
     both = texts.withColumn("image", F.lit(None).cast(placed.schema["image"].dataType)).unionByName(placed.withColumn("elements", F.lit(None).cast(texts.schema["elements"].dataType)))
     order = Window.partitionBy(*PAGE).orderBy("kind", "seq")
+    # a union of dealt out parts is dealt out anew: on Spark's word that it is already, content_overlaps lost pairs of pages without images
+    both = both.repartition(*PAGE)
     both = both.withColumn("block_seq", F.row_number().over(order))
     turned = pages.where("page_ctm.d < 0").groupBy(*PAGE).agg(F.first("height").alias("turn"))
     both = both.join(turned, [*PAGE], "left")
