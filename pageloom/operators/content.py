@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import fitting
 from pageloom.operators.joins import translated
-from pageloom.operators.layout import PAGE, reading_order, split_pages, text_blocks
+from pageloom.operators.layout import PAGE, packed, reading_order, text_blocks
 from pageloom.operators.scan import segmented_scan
 
 COLOR = "struct<r:double,g:double,b:double>"
@@ -21,35 +21,37 @@ def _black() -> Column:
     return F.struct(*[F.lit(0.0).alias(n) for n in "rgb"]).cast(COLOR)
 
 
-def content_blocks(elements: DataFrame, images: DataFrame, pages: DataFrame) -> DataFrame:
+def content_blocks(elements: DataFrame, images: DataFrame, pages: DataFrame, nested: bool = True, parts: int | None = None) -> DataFrame:
     """PAGE and COLUMNS of every block: each page's text blocks, then its images, numbered from 1.
 
     elements are text elements; images have PAGE, image_seq, name, x, y, placed_width, placed_height,
     pixel_width, pixel_height, format and transform; pages have PAGE, height and page_ctm, the page's
     first matrix outside any saved state, or null. Where that matrix turns y upside down, blocks, their
     elements and images are turned back, so y grows upwards for all. A page that pages doesn't list
-    is taken as it is; repeated pages count once.
+    is taken as it is; repeated pages count once. Without nested a text has n_elements in place of elements.
+    Texts, images and turned pages are dealt out together once: by page, or by document in `parts` parts,
+    which should grow with the input, and then what follows by page or document moves no block.
     """
-    texts = text_blocks(elements, images, nested=True).select(
-        *PAGE, F.lit(0).alias("kind"), F.col("block_seq").alias("seq"), F.lit(TEXT).alias("block_type"), "x", "y", "width", "height", "font", "font_size",
-        _black().alias("color"), "text", "elements", F.lit(None).alias("image"),
+    held = "elements" if nested else "n_elements"
+    texts = text_blocks(elements, images, nested=nested, counted=not nested, parts=parts).select(
+        *PAGE, F.lit(0).alias("kind"), F.col("block_seq").alias("seq"), F.lit(TEXT).alias("block_type"), "x", "y", "width", "height", "font", "font_size", _black().alias("color"), "text", held,
     )
-    held = F.struct("name", "pixel_width", "pixel_height", "format", F.col("transform").cast(MATRIX).alias("transform"))
+    image = F.struct("name", "pixel_width", "pixel_height", "format", F.col("transform").cast(MATRIX).alias("transform"))
     placed = images.select(
-        *PAGE, F.lit(1).alias("kind"), F.col("image_seq").cast("bigint").alias("seq"), F.lit(IMAGE).alias("block_type"), "x", "y", F.col("placed_width").alias("width"), F.col("placed_height").alias("height"),
-        F.lit(None).cast("string").alias("font"), F.lit(None).cast("double").alias("font_size"), F.lit(None).cast(COLOR).alias("color"), F.lit(None).cast("string").alias("text"), F.lit(None).alias("elements"), held.alias("image"),
+        *PAGE, F.lit(1).alias("kind"), F.col("image_seq").cast("bigint").alias("seq"), F.lit(IMAGE).alias("block_type"), "x", "y", F.col("placed_width").alias("width"), F.col("placed_height").alias("height"), image.alias("image"),
     )
-    both = texts.withColumn("image", F.lit(None).cast(placed.schema["image"].dataType)).unionByName(placed.withColumn("elements", F.lit(None).cast(texts.schema["elements"].dataType)))
-    order = Window.partitionBy(*PAGE).orderBy("kind", "seq")
+    turned = pages.where("page_ctm.d < 0").select(*PAGE, F.lit(2).alias("kind"), F.col("height").alias("turn"))
+    both = texts.unionByName(placed, allowMissingColumns=True).unionByName(turned, allowMissingColumns=True)
     # a union of dealt out parts is dealt out anew: on Spark's word that it is already, content_overlaps lost pairs of pages without images
-    both = both.repartition(*PAGE)
-    both = both.withColumn("block_seq", F.row_number().over(order))
-    turned = pages.where("page_ctm.d < 0").groupBy(*PAGE).agg(F.first("height").alias("turn"))
-    both = both.join(turned, [*PAGE], "left")
-    up = F.transform("elements", lambda e: e.withField("y", F.col("turn") - e["y"]))
+    both = both.repartition(parts, "doc_id") if parts else both.repartition(*PAGE)
+    order = Window.partitionBy(*PAGE).orderBy("kind", "seq")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    both = both.withColumns({"block_seq": F.row_number().over(order), "turn": F.max("turn").over(whole)}).where("kind < 2")
     is_turned = F.col("turn").isNotNull()
-    both = both.withColumns({"y": F.when(is_turned, F.col("turn") - F.col("y") - F.col("height")).otherwise(F.col("y")), "elements": F.when(is_turned, up).otherwise(F.col("elements"))})
-    return both.select(*PAGE, *COLUMNS)
+    up = {"y": F.when(is_turned, F.col("turn") - F.col("y") - F.col("height")).otherwise(F.col("y"))}
+    if nested:
+        up["elements"] = F.when(is_turned, F.transform("elements", lambda e: e.withField("y", F.col("turn") - e["y"]))).otherwise(F.col("elements"))
+    return both.withColumns(up).select(*PAGE, *[held if c == "elements" else c for c in COLUMNS])
 
 
 def page_layouts(blocks: DataFrame, pages: DataFrame) -> DataFrame:
@@ -76,8 +78,8 @@ def merged_stream(blocks: DataFrame) -> DataFrame:
 
     A text joins the one before it if both have one font and colour and its size is within 1.0 of that of the
     first of them; an image stands alone and ends a run. One scan numbers the runs; a run has the
-    place, font and size of its first block, all texts joined by line feeds, all elements, and bounds
-    around all of them.
+    place, font and size of its first block, all texts joined by line feeds, all elements, or their number
+    where blocks have n_elements in their place, and bounds around all of them.
     """
 
     def step(at, kind, font, size, color):
@@ -98,19 +100,19 @@ def merged_stream(blocks: DataFrame) -> DataFrame:
     return runs.groupBy("doc_id", "run").agg(
         *first, x.alias("x"), y.alias("y"), (F.max(F.col("x") + F.col("width")) - x).alias("width"), (F.max(F.col("y") + F.col("height")) - y).alias("height"),
         F.count("*").alias("n_blocks"), F.when(F.min_by("block_type", place) == TEXT, F.array_join(in_order("text"), "\n")).alias("text"),
-        F.flatten(F.filter(in_order("elements"), lambda e: e.isNotNull())).alias("elements"),
+        F.flatten(F.filter(in_order("elements"), lambda e: e.isNotNull())).alias("elements") if "elements" in blocks.columns else F.coalesce(F.sum("n_elements"), F.lit(0)).alias("n_elements"),
     )
 
 
 def split_stream(blocks: DataFrame, page_height: float = 842.0, spacing: float = 10.0, margin: float = 50.0) -> DataFrame:
     """A document's blocks packed into new pages, from the highest down whatever page they were on: out_page and y.
 
-    Columns are as they were, with page_num kept and y that of the new page; elements keep theirs.
+    Columns are as they were, with page_num kept and y that of the new page; elements keep theirs. All columns
+    stream through the scan, so blocks are made once.
     """
     numbered = blocks.withColumn("was", F.col("block_seq")).withColumn("block_seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_num", "block_seq")))
-    placed = split_pages(numbered, page_height, spacing, margin, page=("doc_id",))
-    out = numbered.drop("y").join(placed.withColumnRenamed("new_y", "y"), ["doc_id", "block_seq"])
-    return out.drop("block_seq").withColumnRenamed("was", "block_seq").select(*blocks.columns, "out_page")
+    placed = packed(reading_order(numbered, ("doc_id",)), page_height, spacing, margin, ("doc_id",))
+    return placed.withColumns({"y": F.col("new_y"), "block_seq": F.col("was")}).select(*blocks.columns, "out_page")
 
 
 def fit_content(blocks: DataFrame, least: float = 6.0, spacing: float = 1.2) -> DataFrame:
