@@ -122,10 +122,8 @@ def fit_content(blocks: DataFrame, least: float = 6.0, spacing: float = 1.2) ->
     fit at no size tried; otherwise the first size that bisection from `least` to the block's own finds.
     """
     fit = fitting.Fit(least=least, spacing=spacing, padding=0.0)
-    high = fitting.line_count("text", "width", "font_size") * (F.col("font_size") * F.lit(spacing))
-    small = fitting.fitted_size("text", "width", "height", fit, most="font_size")
-    changes = (F.col("block_type") == TEXT) & (F.col("text") != "") & (high > F.col("height"))
-    return blocks.withColumn("font_size", F.when(changes, F.least(F.coalesce(small, "font_size"), "font_size")).otherwise(F.col("font_size")))
+    small = fitting.smaller_size(f"case when block_type = '{TEXT}' and text <> '' then text end", "width", "height", "font_size", fit)
+    return blocks.withColumn("font_size", F.coalesce(small, "font_size"))
 
 
 def drawn(blocks: DataFrame, fit: fitting.Fit = fitting.Fit(), keep_images: bool = True, keep_layout: bool = True) -> DataFrame:
