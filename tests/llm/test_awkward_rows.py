@@ -82,3 +82,61 @@ def test_classes_of_groups_larger_than_a_leaf(spark, leaf):
     got = {r.doc_id: (r.class_id, r.class_size) for r in neardup.near_duplicates(docs(spark, rows).repartition(6), leaf=leaf).collect()}
     assert {i: got[i][0] for i in range(len(texts))} == dict(enumerate(label))
     assert all(got[10_000 + i] == got[0] for i in range(5000)) and got[0][1] == label.count(0) + 5000
+
+
+HOST = "http://shop.org"
+
+
+def main(spark, htmls, hosts=None):
+    rows = [(i, (hosts or [HOST] * len(htmls))[i], h) for i, h in enumerate(htmls)]
+    return [r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).orderBy("page_id").collect()]
+
+
+def words(rng, n):
+    return " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+
+
+def test_the_tree_tells_elements_of_one_path_apart(spark):
+    """Between two headings the paragraph of each page is another, and so are their numbers before and after: only the gap says which."""
+    rng = random.Random(3)
+    own = [[words(rng, 9) for _ in range(2 + i % 4)] for i in range(9)]
+    end = [[words(rng, 7) for _ in range(1 + (i * 5) % 3)] for i in range(9)]
+    htmls = ["".join(f"<p>{x}</p>" for x in a) + "<h2>About the shop</h2><p>We deliver on Mondays</p><h3>More</h3>" + "".join(f"<p>{x}</p>" for x in b) for a, b in zip(own, end)]
+    assert main(spark, htmls) == ["\n\n".join(a + b) for a, b in zip(own, end)]
+
+
+def test_optional_parts_nest_and_crossed_ones_stay(spark):
+    rng = random.Random(4)
+    body = [words(rng, 12) for _ in range(12)]
+    top, end = "<h4>Shop</h4>", "<h5>Imprint</h5>"
+    promo = lambda i: "<div class='x'>Sale</div>" if i % 2 else ""
+    assert main(spark, [f"{top}{promo(i)}<p>{b}</p>{end}" for i, b in enumerate(body)]) == body
+    # a part that is now before the text's end mark and now after it has no place in the template
+    loose = lambda i, at: "<div class='x'>Sale</div>" if i % 2 and (i % 4 == 1) == at else ""
+    got = main(spark, [f"{top}{loose(i, True)}<p>{b}</p>{end}{loose(i, False)}" for i, b in enumerate(body)])
+    assert got == [b if i % 2 == 0 else f"Sale\n\n{b}" if i % 4 == 1 else f"{b}\n\nSale" for i, b in enumerate(body)]
+
+
+def test_a_moving_text_leaves_the_root_whole(spark):
+    """It is no token of the class of all pages; by the gaps of that class it is two optional parts."""
+    rng = random.Random(5)
+    body = [words(rng, 12) for _ in range(8)]
+    moved = "<h6>Quote of the day</h6>"
+    got = main(spark, [f"{moved * (i % 2)}<h4>Shop</h4><p>{b}</p><h5>Imprint</h5>{moved * (1 - i % 2)}" for i, b in enumerate(body)])
+    assert got == body
+
+
+def test_trees_are_the_same_broadcast_or_joined(spark):
+    rng = random.Random(6)
+    htmls = [f"<h4>Shop {i % 3}</h4><p>{words(rng, 9)}</p><h5>Imprint</h5>" for i in range(30)]
+    p = spark.createDataFrame([(i, f"http://h{i % 3}.org", h) for i, h in enumerate(htmls)], "page_id bigint, url string, html string")
+    got, joined = (sorted(map(tuple, pages.main_text(p, n).collect())) for n in (1_000_000, 0))
+    assert got == joined and all("Shop" not in r[2] and "Imprint" not in r[2] for r in got)
+
+
+@pytest.mark.parametrize("blocks", [[], [1], [3, 1, 2], [1, 1, 2], [5, 4, 3, 2, 1], [0, 8, 4, 12, 2, 10, 6, 14]])
+def test_the_longest_ordered_part(blocks):
+    at = pages.in_order(list(enumerate(blocks)))
+    every = [[i for i in range(len(blocks)) if m >> i & 1] for m in range(1 << len(blocks))]
+    best = max(len(x) for x in every if all(blocks[a] <= blocks[b] for a, b in zip(x, x[1:])))
+    assert len(at) == best and all(a < b and blocks[a] <= blocks[b] for a, b in zip(at, at[1:]))
