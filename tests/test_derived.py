@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pageloom.operators import content as C
 from pageloom.operators import layout as L
+from pageloom.plans import marks
 from pageloom.sources import derived
 
 SMALL = "/root/testdata/sf0.001"
@@ -53,3 +54,9 @@ def test_pairs_of_pages_without_images_stay(spark):
     b = C.content_blocks(derived.elements(spark, SMALL), derived.placed_images(spark, SMALL), derived.pages(spark, SMALL))
     b = b.select(*L.PAGE, "block_seq", "x", "y", "width", "height")
     assert sorted(map(tuple, L.overlaps(b, L.PAGE).collect())) == sorted(map(tuple, L.overlaps(b.localCheckpoint(), L.PAGE).collect()))
+
+
+def test_layers_and_ruby_move_texts_once_and_no_element(spark):
+    for name in ("text_layers", "ruby_runs"):
+        plan = marks.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == plan.count("Exchange") == 1 and "hashpartitioning(doc_id#" in plan
