@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import fresh
+from pageloom.llm.common import cut, fresh, sweep
 
 #: Words of a shingle, blocks of a fingerprint, and the bits that may differ in one block.
 SHINGLE, BLOCKS, FLIPS = 5, 4, 4
@@ -32,14 +32,11 @@ def _shingles(df: DataFrame) -> DataFrame:
     return df.withColumn("sh", F.expr(f"transform({at}, i -> xxhash64({_ARGS}))")).withColumn("wt", F.expr(f"transform({at}, i -> {_WEIGHT})"))
 
 
-def _fingerprint(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One 64-bit SimHash for each key of rows (keys, h, w): the sign of the weighted bits."""
-    sums = [F.sum(F.expr(f"w * (2 * (shiftright(h, {b}) & 1) - 1)")).alias(f"b{b}") for b in range(64)]
-    bits = [F.expr(f"if(b{b} > 0, shiftleft(1L, {b}), 0L)") for b in range(64)]
-    total = bits[0]
-    for x in bits[1:]:
-        total = total.bitwiseOR(x)
-    return rows.groupBy(*keys).agg(*sums).select(*keys, total.alias("fp"))
+def _fingerprint(zipped: str) -> str:
+    """The 64-bit SimHash of an array of structs (sh, wt), made within its row: the sign of the weighted bits."""
+    # sixty-four sums of an aggregation would be so many columns of every plan and code that the driver makes
+    signed = f"aggregate({zipped}, 0L, (s, z) -> s + z.wt * (2 * (shiftright(z.sh, b) & 1) - 1))"
+    return f"aggregate(transform(sequence(0, 63), b -> if({signed} > 0, shiftleft(1L, b), 0L)), 0L, (m, x) -> m | x)"
 
 
 def _short_matches(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int) -> DataFrame | None:
@@ -70,8 +67,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, broa
     empty texts are left out; case and punctuation at the edges of words do not count. Each row of docs is looked at by itself, and the best window of a pair is returned.
     The item table is broadcast only if its counted rows are within broadcast_rows.
     """
-    items = _shingles(benchmark.select("item_id", "text")).select("item_id", F.size("ws").alias("len"), "sh", "wt")
-    parts = items.select("item_id", "len", F.posexplode(F.arrays_zip("sh", "wt")).alias("ipos", "z")).select("item_id", "len", "ipos", F.col("z.sh").alias("h"), F.col("z.wt").alias("w"))
+    # items and windows are cut: each is used several times, and plans that repeat what they come from fill the driver's memory
+    items = _shingles(benchmark.select("item_id", "text")).select("item_id", F.size("ws").alias("len"), F.arrays_zip("sh", "wt").alias("win"))
+    items = cut(items.withColumn("fp", F.expr(_fingerprint("win"))))
+    parts = items.select("item_id", "len", F.posexplode("win").alias("ipos", "z")).select("item_id", "len", "ipos", F.col("z.sh").alias("h"), F.col("z.wt").alias("w"))
     small = parts.count() <= broadcast_rows
     fit = F.broadcast if small else (lambda x: x)
 
@@ -84,16 +83,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, broa
     texts = d.join(hits.withColumnRenamed("doc_id", "hit_id").withColumnRenamed("k", "hit_k"), F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("k") == F.col("hit_k"))).drop("hit_id", "hit_k").dropDuplicates(["doc_id", "k"])
     key = ["doc_id", "k", "item_id", "start"]
     wins = _shingles(texts).select("doc_id", "k", "sh", "wt", F.explode("wins").alias("x")).select("doc_id", "k", F.col("x.item_id").alias("item_id"), F.col("x.start").alias("start"), F.expr(f"slice(arrays_zip(sh, wt), x.start + 1, x.len - {SHINGLE - 1})").alias("win"))
-    rows = wins.select(*key, F.explode("win").alias("z")).select(*key, F.col("z.sh").alias("h"), F.col("z.wt").alias("w"))
+    wins = cut(wins.withColumn("fp", F.expr(_fingerprint("win"))))
+    sweep(wins)
 
-    fps = _fingerprint(rows, key)
     block = F.posexplode(F.expr(f"transform(sequence(0, {BLOCKS - 1}), i -> cast(shiftrightunsigned(fp, i * 16) & 65535 as int))")).alias("blk", "val")
-    own = _fingerprint(parts, ["item_id"])
     flips = F.explode(F.expr(f"filter(sequence(0, 65535), x -> bit_count(x) <= {FLIPS})"))
-    index = own.select("item_id", "fp", block).select("item_id", F.col("fp").alias("ifp"), "blk", "val", flips.alias("flip")).select("item_id", "ifp", "blk", F.expr("val ^ flip").alias("val"))
+    index = items.select("item_id", "fp", block).select("item_id", F.col("fp").alias("ifp"), "blk", "val", flips.alias("flip")).select("item_id", "ifp", "blk", F.expr("val ^ flip").alias("val"))
     # the planner can't see that the flips make 2517 rows of each block, so it must not broadcast them
-    cand = fps.select(*key, "fp", block).join(index.hint("merge"), ["item_id", "blk", "val"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS).select(*key).distinct()
+    cand = wins.select(*key, "fp", block).join(index.hint("merge"), ["item_id", "blk", "val"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS).select(*key).distinct()
 
+    rows = wins.select(*key, F.explode("win").alias("z")).select(*key, F.col("z.sh").alias("h"), F.col("z.wt").alias("w"))
     have = rows.groupBy(*key, "h").agg(F.count("*").alias("c"), F.first("w").alias("w"))
     want = parts.groupBy("item_id", "h").agg(F.count("*").alias("ic"))
     whole = parts.groupBy("item_id").agg(F.sum("w").alias("iw"))

@@ -73,6 +73,20 @@ class Model:
         return np.where(total > 0, (votes * self.labels[near]).sum(1) / np.maximum(total, 1e-300), 0.0)
 
 
+def _ordered(got: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and labels of rows (doc_id, q, c) by id."""
+    counts = np.empty((got.num_rows, BINS), np.uint16)
+    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    at = 0
+    for chunk in got.column("c").cast(pa.binary()).chunks:  # copied straight from the buffers, without an object a row
+        first = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        counts[place[at : at + len(chunk)]] = np.frombuffer(chunk.buffers()[2], np.uint8)[first[0] : first[-1]].view(np.uint16).reshape(-1, BINS)
+        at += len(chunk)
+    return counts, got.column("q").to_numpy()[order]
+
+
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, **how) -> Model:
     """Fits on about max_labelled labelled rows that are not held out, drawn evenly by a hash of the id.
 
@@ -92,17 +106,9 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, **how) -
     # about max_labelled rows of 16 bytes, so the size of this broadcast is bounded
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(lab.select(F.col("doc_id").cast("bigint").alias("doc_id"), "q")), "doc_id")
     got = rows.select("doc_id", "q", "text").mapInArrow(count, "doc_id bigint, q int, c binary").toArrow()
-    counts = np.empty((got.num_rows, BINS), np.uint16)
-    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    at = 0
-    for chunk in got.column("c").cast(pa.binary()).chunks:  # copied straight from the buffers, without an object a row
-        first = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
-        counts[place[at : at + len(chunk)]] = np.frombuffer(chunk.buffers()[2], np.uint8)[first[0] : first[-1]].view(np.uint16).reshape(-1, BINS)
-        at += len(chunk)
-    q = got.column("q").to_numpy()[order]
+    counts, q = _ordered(got)
     del got
+    pa.default_memory_pool().release_unused()  # else the driver keeps what the rows took for the rest of its life
     return Model(counts, q, **how)
 
 

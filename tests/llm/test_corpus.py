@@ -276,6 +276,21 @@ def test_decontamination_of_quoted_and_short_items(spark):
     assert {r.doc_id for r in decontaminate.drop_contaminated(df, bench).collect()} == {5, 7, 8}
 
 
+def test_decontamination_keeps_its_plan_small(spark):
+    """Fingerprints are made within rows, and what items and windows come from is in no plan that is left: the driver holds plans."""
+    rng = random.Random(10)
+    item = " ".join(f"q{rng.randint(0, 900)}" for _ in range(30))
+    df = frame(spark, [(1, item, None, None, None, "c")])
+    plan = decontaminate.matches(df, spark.createDataFrame([(1, item)], "item_id bigint, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 12_000 and plan.count("Generate") <= 8 and "xxhash64" not in plan
+
+    pairs = [[(rng.getrandbits(64) - (1 << 63), rng.randint(1, 60)) for _ in range(n)] for n in (0, 1, 7, 40)]
+    got = spark.createDataFrame([(n, p) for n, p in enumerate(pairs)], "n int, win array<struct<sh: bigint, wt: int>>").selectExpr("n", f"{decontaminate._fingerprint('win')} as fp").collect()
+    for r in got:
+        bits = [sum(w if h >> b & 1 else -w for h, w in pairs[r.n]) > 0 for b in range(64)]
+        assert r.fp & (1 << 64) - 1 == sum(1 << b for b in range(64) if bits[b])
+
+
 def test_fingerprints(spark):
     rows = [(i, t) for i, t, *_ in texts() if i is not None]
     got = {r.doc_id: r for r in fingerprints.fingerprints(frame(spark, texts()[:-3] + texts()[-2:])).collect()}
