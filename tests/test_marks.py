@@ -12,6 +12,7 @@ from pageloom.functions import text as T
 from pageloom.functions import typed
 from pageloom.operators import cursor, joins
 from pageloom.operators import matrix as X
+from pageloom.sources import derived
 
 OPS = "doc_id bigint, page_num int, op_seq int, op string, args array<double>"
 
@@ -53,6 +54,15 @@ def test_common_keys_join_as_others_do(spark):
     assert joins.spread_join(left, right.limit(0), ["k"], rows=1).where("w is not null").count() == 0
 
 
+def test_repeated_ranges_and_empty_texts_add_no_rows(spark, tmp_path):
+    c = spark.createDataFrame([("A", 5), ("A", 12), ("A", 7)], "font string, code bigint")
+    chars = spark.createDataFrame([("A", 7, 70)] * 2, "font string, code bigint, char bigint")
+    r = spark.createDataFrame([("A", 1, 0, 9, 100), ("A", 2, 0, 20, 500)] * 3 + [("A", 1, 3, 9, 900)], "font string, range_seq bigint, low bigint, high bigint, start bigint")
+    assert sorted(tuple(x) for x in joins.code_map(c, chars, r, ["font"]).collect()) == [("A", 5, 105), ("A", 7, 70), ("A", 12, 512)]
+    spark.createDataFrame([(0, ""), (1, "ab"), (2, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {x.doc_id: x.codes for x in derived.coded(spark, str(tmp_path)).collect()} == {0: [], 1: [97, 98], 2: None}
+
+
 def test_codes_find_their_first_range(spark):
     rng = random.Random(4)
     ranges = [("A", i, lo := rng.randint(-50, 70000), lo + rng.choice([0, 1, 7, 300, 9000, -1]), rng.randint(0, 999)) for i in range(300)] + [("A", 900, None, 5, 1), ("B", 1, 0, 1 << 40, 7)]
