@@ -1,11 +1,15 @@
-"""Texts of any length as lines: a scan over their words, in linear time."""
+"""Texts of any length as lines, in Arrow batches: linear time, and nothing is dealt out."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from pageloom.operators.scan import segmented_scan
+from pageloom.functions import fitting
+
+#: Lines, about, that are put together before they are passed on.
+LINES = 50_000
 
 
 def wrapped_lines(rows: DataFrame, key: list[str], wide: float, size: float, text: str = "text") -> DataFrame:
@@ -13,19 +17,24 @@ def wrapped_lines(rows: DataFrame, key: list[str], wide: float, size: float, tex
 
     A word counts 0.6 sizes for each byte; a longer one stands alone. An empty line of the text stays,
     one of white space alone goes, so a text of those has no row; an empty text is one empty line and
-    a null text none. `key` names a row. A word is a row of the scan and a line is put together
-    from its words, so no list of lines is carried along.
+    a null text none. `key` names a row. A row becomes lines where it is: words are no rows, none is
+    sorted or moved, and lines are passed on as they come.
     """
-    paras = rows.where(F.col(text).isNotNull()).select(*key, F.posexplode(F.split(text, "\n")).alias("para", "p"))
-    words = F.filter(F.split("p", r"(?U)\s+"), lambda w: w != "")
-    each = paras.select(*key, "para", F.posexplode(F.when(F.col("p") == "", F.array(F.lit(""))).otherwise(words)).alias("i", "word")).withColumn("bytes", F.octet_length("word"))
-    unit = float(size) * 0.6
-
-    def step(at, para, size):
-        if at is None or at[0] != para or (at[1] + 1 + size) * unit > wide:
-            return (para, size, 1 if at is None else at[2] + 1), (1 if at is None else at[2] + 1,)
-        return (para, at[1] + 1 + size, at[2]), (at[2],)
-
-    placed = segmented_scan(each, key, ["para", "i"], ["para", "bytes"], step, "line_no int")
-    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda w: w["word"]), " ")
-    return placed.groupBy(*key, "line_no").agg(line.alias("line"))
+    n = len(key)
+
+    def run(batches):
+        for b in batches:
+            at, numbers, out = [], [], []
+            for i, t in enumerate(b.column(n)):
+                if t.is_valid:
+                    made = fitting.broken(t.as_py(), wide, size)
+                    at += [i] * len(made)
+                    numbers += range(1, len(made) + 1)
+                    out += made
+                if out and (len(out) >= LINES or i == b.num_rows - 1):
+                    keys = [b.column(k).take(pa.array(at, pa.int64())) for k in range(n)]
+                    yield pa.RecordBatch.from_arrays([*keys, pa.array(numbers, pa.int32()), pa.array(out, pa.string())], [*b.schema.names[:n], "line_no", "line"])
+                    at, numbers, out = [], [], []
+
+    fields = StructType([*rows.select(*key).schema.fields, StructField("line_no", IntegerType()), StructField("line", StringType())])
+    return rows.select(*key, text).mapInArrow(run, fields)

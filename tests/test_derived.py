@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pageloom.operators import content as C
 from pageloom.operators import layout as L
-from pageloom.plans import marks
+from pageloom.operators import wrapping
+from pageloom.plans import contents, marks
 from pageloom.sources import derived
 
 SMALL = "/root/testdata/sf0.001"
@@ -60,3 +61,14 @@ def test_layers_and_ruby_move_texts_once_and_no_element(spark):
     for name in ("text_layers", "ruby_runs"):
         plan = marks.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == plan.count("Exchange") == 1 and "hashpartitioning(doc_id#" in plan
+
+
+def test_texts_become_lines_where_they_are(spark, monkeypatch):
+    plan = contents.queries()["wrapped_documents"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and not any(x in plan for x in ("Generate", "Sort", "Window", "Aggregate"))
+    texts = {1: "aa bb cc\n\n \t\ndd\x1cee\u3000f", 2: None, 3: "", 4: " \t ", 5: "abcdefghijkl m\n", 6: None}
+    want = [(1, 1, "aa bb"), (1, 2, "cc"), (1, 3, ""), (1, 4, "dd\x1cee"), (1, 5, "f"), (3, 1, ""), (5, 1, "abcdefghijkl"), (5, 2, "m"), (5, 3, "")]
+    rows = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").coalesce(1)
+    for n in (1, 4, 1000):
+        monkeypatch.setattr(wrapping, "LINES", n)
+        assert sorted(map(tuple, wrapping.wrapped_lines(rows, ["doc_id"], 30.0, 10.0).collect())) == want
