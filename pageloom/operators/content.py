@@ -21,7 +21,7 @@ def _black() -> Column:
     return F.struct(*[F.lit(0.0).alias(n) for n in "rgb"]).cast(COLOR)
 
 
-def content_blocks(elements: DataFrame, images: DataFrame, pages: DataFrame, nested: bool = True, parts: int | None = None) -> DataFrame:
+def content_blocks(elements: DataFrame, images: DataFrame, pages: DataFrame, nested: bool = True, parts: int | None = None, by: tuple[str, ...] | None = PAGE) -> DataFrame:
     """PAGE and COLUMNS of every block: each page's text blocks, then its images, numbered from 1.
 
     elements are text elements; images have PAGE, image_seq, name, x, y, placed_width, placed_height,
@@ -29,29 +29,44 @@ def content_blocks(elements: DataFrame, images: DataFrame, pages: DataFrame, nes
     first matrix outside any saved state, or null. Where that matrix turns y upside down, blocks, their
     elements and images are turned back, so y grows upwards for all. A page that pages doesn't list
     is taken as it is; repeated pages count once. Without nested a text has n_elements in place of elements.
-    Texts, images and turned pages are dealt out together once: by page, or by document in `parts` parts,
-    which should grow with the input, and then what follows by page or document moves no block.
+    A page's last text brings its images along. Where all three tables are dealt out by PAGE in one number of
+    parts, no element moves until the blocks are dealt out, by `by` and in `parts` parts, which should grow
+    with the input, for what follows; by=None leaves them where they are. Images of a null page are
+    numbered for themselves.
     """
     held = "elements" if nested else "n_elements"
-    texts = text_blocks(elements, images, nested=nested, counted=not nested, parts=parts).select(
-        *PAGE, F.lit(0).alias("kind"), F.col("block_seq").alias("seq"), F.lit(TEXT).alias("block_type"), "x", "y", "width", "height", "font", "font_size", _black().alias("color"), "text", held,
-    )
+    texts = text_blocks(elements, images, nested=nested, counted=not nested)
     image = F.struct("name", "pixel_width", "pixel_height", "format", F.col("transform").cast(MATRIX).alias("transform"))
-    placed = images.select(
-        *PAGE, F.lit(1).alias("kind"), F.col("image_seq").cast("bigint").alias("seq"), F.lit(IMAGE).alias("block_type"), "x", "y", F.col("placed_width").alias("width"), F.col("placed_height").alias("height"), image.alias("image"),
-    )
-    turned = pages.where("page_ctm.d < 0").select(*PAGE, F.lit(2).alias("kind"), F.col("height").alias("turn"))
-    both = texts.unionByName(placed, allowMissingColumns=True).unionByName(turned, allowMissingColumns=True)
-    # a union of dealt out parts is dealt out anew: on Spark's word that it is already, content_overlaps lost pairs of pages without images
-    both = both.repartition(parts, "doc_id") if parts else both.repartition(*PAGE)
-    order = Window.partitionBy(*PAGE).orderBy("kind", "seq")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    both = both.withColumns({"block_seq": F.row_number().over(order), "turn": F.max("turn").over(whole)}).where("kind < 2")
-    is_turned = F.col("turn").isNotNull()
-    up = {"y": F.when(is_turned, F.col("turn") - F.col("y") - F.col("height")).otherwise(F.col("y"))}
+    placed = images.select(*PAGE, F.struct(F.col("image_seq").alias("seq"), "x", "y", F.col("placed_width").alias("width"), F.col("placed_height").alias("height"), image.alias("image")).alias("placed"))
+    placed = placed.groupBy(*PAGE).agg(F.sort_array(F.collect_list("placed")).alias("placed"))
+    turned = pages.where("page_ctm.d < 0").groupBy(*PAGE).agg(F.max("height").alias("turn"))
+
+    def up(y: Column, height: Column) -> Column:
+        return F.when(F.col("turn").isNotNull(), F.col("turn") - y - height).otherwise(y)
+
+    text = texts.withColumn("is_last", F.lead("block_seq").over(Window.partitionBy(*PAGE).orderBy("block_seq")).isNull())
+    text = text.join(placed, [*PAGE], "left").join(turned, [*PAGE], "left")
+    own = {"block_seq": F.col("block_seq").cast("int"), "block_type": F.lit(TEXT), "x": F.col("x"), "y": up(F.col("y"), F.col("height")), "width": F.col("width"), "height": F.col("height"), "font": F.col("font"), "font_size": F.col("font_size"), "color": _black(), "text": F.col("text"), held: F.col(held)}
     if nested:
-        up["elements"] = F.when(is_turned, F.transform("elements", lambda e: e.withField("y", F.col("turn") - e["y"]))).otherwise(F.col("elements"))
-    return both.withColumns(up).select(*PAGE, *[held if c == "elements" else c for c in COLUMNS])
+        own[held] = F.when(F.col("turn").isNotNull(), F.transform(held, lambda e: e.withField("y", F.col("turn") - e["y"]))).otherwise(F.col(held))
+    kinds = {c: dict(texts.dtypes)[c] for c in ("x", "y", "width", "height", "font", "font_size", "text", held)} | {"block_seq": "int", "block_type": "string", "color": COLOR}
+    own["image"] = F.lit(None).cast(placed.schema["placed"].dataType.elementType["image"].dataType)
+    names = [held if c == "elements" else c for c in COLUMNS]
+
+    def drawn_image(before: Column) -> Column:
+        def one(p: Column, i: Column) -> Column:
+            at = {"block_seq": (before + i + 1).cast("int"), "block_type": F.lit(IMAGE), "x": p["x"], "y": up(p["y"], p["height"]), "width": p["width"], "height": p["height"], "image": p["image"]}
+            return F.struct(*[(at[c] if c in at else F.lit(None).cast(kinds[c])).alias(c) for c in names])
+
+        return F.transform("placed", one)
+
+    rows = F.concat(F.array(F.struct(*[own[c].alias(c) for c in names])), F.when(F.col("is_last") & F.col("placed").isNotNull(), drawn_image(F.col("block_seq"))).otherwise(F.array()))
+    # pages of images alone; round robin, so that Spark 4.1 takes no union of like parts as dealt out: on its word content_overlaps lost pairs
+    alone = placed.join(elements.select(*PAGE).distinct(), [*PAGE], "left_anti").join(turned, [*PAGE], "left").select(*PAGE, F.explode(drawn_image(F.lit(0))).alias("b"))
+    both = text.select(*PAGE, F.explode(rows).alias("b")).unionByName(alone.repartition(elements.sparkSession.sparkContext.defaultParallelism)).select(*PAGE, "b.*")
+    if by is None:
+        return both
+    return both.repartition(parts, *by) if parts else both.repartition(*by)
 
 
 def page_layouts(blocks: DataFrame, pages: DataFrame) -> DataFrame:

@@ -72,3 +72,21 @@ def test_texts_become_lines_where_they_are(spark, monkeypatch):
     for n in (1, 4, 1000):
         monkeypatch.setattr(wrapping, "LINES", n)
         assert sorted(map(tuple, wrapping.wrapped_lines(rows, ["doc_id"], 30.0, 10.0).collect())) == want
+
+
+def test_pages_dealt_out_as_texts_have_the_same_elements(spark, tmp_path):
+    odd = ["", " \n ", "a", "\n b  c\n", " ".join(f"w{i}" for i in range(100)), "  ".join(f"é{i}\n" for i in range(201)), None, "a\tb \x0bc \U0001f600 d"]
+    spark.createDataFrame(list(enumerate(odd)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for d in (str(tmp_path), SMALL):
+        for make in (derived.elements, derived.pages, derived.placed_images):
+            plain, paged = make(spark, d), make(spark, d, 7, True)
+            assert paged.dtypes == plain.dtypes and paged.rdd.getNumPartitions() == 7
+            assert sorted(map(repr, paged.collect())) == sorted(map(repr, plain.collect()))
+
+
+def test_blocks_are_made_where_their_pages_are(spark):
+    plan = contents.queries()["content_blocks"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "ENSURE_REQUIREMENTS" not in plan and "hashpartitioning(doc_id#" in plan
+    layouts = contents.queries()["page_layouts"](spark, SMALL)
+    assert layouts.count() == derived.pages(spark, SMALL).count()
+    assert "ENSURE_REQUIREMENTS" not in layouts._jdf.queryExecution().executedPlan().toString()
