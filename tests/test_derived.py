@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pageloom.operators import content as C
+from pageloom.operators import joins
 from pageloom.operators import layout as L
 from pageloom.operators import wrapping
 from pageloom.plans import contents, marks
@@ -90,3 +91,11 @@ def test_blocks_are_made_where_their_pages_are(spark):
     layouts = contents.queries()["page_layouts"](spark, SMALL)
     assert layouts.count() == derived.pages(spark, SMALL).count()
     assert "ENSURE_REQUIREMENTS" not in layouts._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_are_translated_where_they_are_and_alike_by_a_large_dictionary(spark, monkeypatch):
+    out = marks.queries()["translated_blocks"](spark, SMALL)
+    assert "ENSURE_REQUIREMENTS" not in out._jdf.queryExecution().executedPlan().toString()
+    few = sorted(map(repr, out.collect()))
+    monkeypatch.setattr(joins, "TEXTS", 0)
+    assert sorted(map(repr, marks.queries()["translated_blocks"](spark, SMALL).collect())) == few
